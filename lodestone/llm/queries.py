@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, langid, linededup, minhash, packing, pii
+from lodestone.llm import chat, decontaminate, embdedup, extract, langid, linededup, minhash, packing, pii, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,6 +65,42 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUINTET = " || ".join(f"substr('{_BASE32}', ((v >> {s}) & 31)::INT + 1, 1)" for s in (15, 10, 5, 0))
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+c AS (SELECT h, max(page_id) AS response, count(*) AS n FROM p GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: list_transform([('0x' || substr(h, (5 * i + 1)::INT, 5))::BIGINT], lambda v: {_QUINTET})[1]), '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM response THEN response END AS refers_to, true AS payload_ok
+FROM p JOIN c USING (h)
+"""
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+n AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS z FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.z * b.z) >= 0.98),
+t AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM t GROUP BY a),
+k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -113,7 +149,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-_QUERIES = [op1_line_dedup, op2_pii, op6_decontamination, op7_packing, op8_minhash_near_dedup, op9_chat_formatting, op10_language_id]
+_QUERIES = [op1_line_dedup, op2_pii, op3_html_extraction, op4_warc, op5_embedding_near_dedup, op6_decontamination, op7_packing, op8_minhash_near_dedup, op9_chat_formatting, op10_language_id]
 
 
 def queries() -> dict:
@@ -121,4 +157,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
