@@ -23,7 +23,9 @@ columns are ignored. An empty table has no pieces.
 from __future__ import annotations
 
 import bisect
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +37,26 @@ from pyspark.sql import functions as F
 
 WINDOW, QUANTUM, BLOCK_TOKENS, END_ID = 4096, 32, 6_000_000, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS, _SLICE = 400_000, 1 << 20
-#: A letter run and the comma or full stop after it are tokens of their own.
-_TAILED = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]")
+_CACHE_WORDS, _SLICE = 600_000, 1 << 20
+#: A run of letters, and the run of signs after it, are tokens of their own (but for apostrophes).
+_TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;?@\[-`{-~]+)")
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words of these letters in lower case are one token run that no rule but the merges changes.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE = _byte_names()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -46,32 +65,38 @@ class WordIds(dict):
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
-        stems = {self._stem(w) for w in new}
-        stems = [w for w in stems if w not in self]
-        if len(self) + len(new) + len(stems) > _CACHE_WORDS:
+        if len(self) + 2 * len(new) > _CACHE_WORDS:
             self.clear()
             new = list(words)
-            stems = list({self._stem(w) for w in new})
-        stems.append(b".")
-        stems.append(b",")
-        for w, e in zip(stems, self.tokenizer.encode_batch_fast([w.decode() for w in stems], add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w in new:
+        parts = {w: self._parts(w) for w in new}
+        other = []
+        for w in {x for p in parts.values() for x in p if x not in self}:
+            if _LETTERS.fullmatch(w):
+                self[w] = _packed([t.id for t in self.tokenizer.model.tokenize(w.decode() if w.isascii() else "".join(map(_BYTE.__getitem__, w)))])
+            else:
+                other.append(w)
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
+                self[w] = _packed(e.ids)
+        for w, p in parts.items():
             if w not in self:
-                stem = self._stem(w)
-                self[w] = self[stem] if len(stem) == len(w) else self[stem] + self[w[-1:]]
+                self[w] = b"".join(self[x] for x in p)
 
     @staticmethod
-    def _stem(w: bytes) -> bytes:
-        if w[-1] in b".," and _TAILED.fullmatch(w):
-            w = w[:-1]
-        return w.lower() if w.isascii() else w
+    def _parts(w: bytes) -> tuple[bytes, ...]:
+        """What a word's ids are made of: itself, or its letters in lower case and the signs behind them."""
+        found = _TAILED.fullmatch(w)
+        letters, tail = (found[1], (found[2],)) if found else (w, ())
+        if letters.isascii():
+            return (letters.lower(), *tail)
+        return (letters.decode().lower().encode() if _LATIN.fullmatch(letters) else letters, *tail)
 
     def ids(self, text: bytes) -> bytes:
         out, at = [], 0
@@ -114,10 +139,12 @@ def combinations(units: int) -> np.ndarray:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """x >= 0 with the least |a x - b|, by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
+    gram, goal = a.T @ a, a.T @ b
     x, passive = np.zeros(n), np.zeros(n, dtype=bool)
     tol = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds or 3 * a.shape[0]):
-        gain = a.T @ (b - a @ x)
+        on = np.flatnonzero(passive)
+        gain = goal - gram[:, on] @ x[on]
         gain[passive] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= tol:
@@ -125,8 +152,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         passive[best] = True
         while True:
             on = np.flatnonzero(passive)
-            part = a[:, on]
-            s = np.linalg.lstsq(part.T @ part, part.T @ b, rcond=None)[0]
+            try:
+                s = np.linalg.solve(gram[np.ix_(on, on)], goal[on])
+            except np.linalg.LinAlgError:
+                s = np.linalg.lstsq(gram[np.ix_(on, on)], goal[on], rcond=None)[0]
             if (s > tol).all():
                 x[:] = 0
                 x[on] = s
