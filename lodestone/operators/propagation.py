@@ -70,12 +70,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, graph: str =
     schema = f"{graph} {kind[graph]}, node {kind['node']}, score double"
     marked = nodes.select(graph, "node").distinct().join(seeds.select(graph, "node", F.lit(1.0).alias("seed")).distinct(), [graph, "node"], "left")
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    sides = edges.select(graph, F.col("a").alias("u"), F.col("b").alias("v"), weight.alias("w"))
+    sides = edges.select(F.col(graph).alias("side_graph"), F.col("a").alias("u"), F.col("b").alias("v"), weight.alias("w"))
 
     def solve(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p = n.seed.fillna(0.0).to_numpy()
         if not len(n) or not p.sum():
-            return pd.DataFrame({graph: [], "node": [], "score": []})
+            return n[[graph, "node"]].iloc[:0].assign(score=0.0)
         place = pd.Index(n.node)
         a, b = place.get_indexer(e.u), place.get_indexer(e.v)
         ok = (a >= 0) & (b >= 0)
@@ -84,7 +84,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, graph: str =
         u, v, w = np.concatenate([a, b[~loop]]), np.concatenate([b, a[~loop]]), np.concatenate([w, w[~loop]])
         return pd.DataFrame({graph: n[graph], "node": n.node, "score": power_iteration(len(n), u, v, p / p.sum(), w, alpha, tolerance, most)})
 
-    return marked.groupBy(graph).cogroup(sides.groupBy(graph)).applyInPandas(solve, schema)
+    return marked.groupBy(graph).cogroup(sides.groupBy("side_graph")).applyInPandas(solve, schema)
 
 
 def cutoff(scores: DataFrame, least: int, most: int, by: list[str], node: str = "node") -> DataFrame:

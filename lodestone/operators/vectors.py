@@ -107,9 +107,7 @@ def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector:
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf.bi.iloc[0], pdf.bj.iloc[0]
         left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        s = unit_rows(left.v) @ unit_rows(right.v).T
+        s = unit_rows(left.v) @ unit_rows(right.v).T if len(left) and len(right) else np.zeros((len(left), len(right)))
         x, y = np.nonzero(s >= theta)
         a, b = left.id.to_numpy()[x], right.id.to_numpy()[y]
         ok = a < b if i == j else a != b
