@@ -5,8 +5,8 @@ blocks in menus, page headers, footers, sidebars, notices, adverts, forms and re
 comments (by tag, role, class or id) and blocks with many links are bad; long ones with many
 stop words are good; short or unclear ones are left open. In the second pass an open block
 gets the label of its nearest decided neighbours: if both sides agree that label, else the
-nearer one, at equal distance the good one if the block has stop words enough or ends like a
-sentence; headings go with what follows them. Inside ``article`` or
+nearer one, at equal distance the good one if the block has stop words enough, ends like a
+sentence or is in an article; headings go with what follows them. Inside ``article`` or
 ``main`` the element's ends count as good neighbours, elsewhere the page's ends count as bad.
 
 The text is the good blocks in page order: character references decoded, white space turned
@@ -230,7 +230,7 @@ def label(found: list[Block]) -> list[Block]:
         elif b.heading:
             b.label = right
         elif i - p == q - i:
-            b.label = "good" if first[i] == "near" or b.text[-1] in ".!?…" else "bad"
+            b.label = "good" if b.main or first[i] == "near" or b.text[-1] in ".!?…" else "bad"
         else:
             b.label = left if i - p < q - i else right
     return found
