@@ -37,7 +37,8 @@ def components(links: DataFrame, paths: list[str], most_rounds: int = 60) -> Dat
 
     Alternates the large-star and small-star steps: every step is a join with the
     smallest neighbour (a partial aggregate), so a node with very many links costs no
-    task more than its share. Each round is written to the shared folder. Raises if
+    task more than its share: the join has a second key that follows from the first, so that
+    both of its sides are shuffled for it alone and adaptive execution can split them. Each round is written to the shared folder. Raises if
     ``most_rounds`` do not suffice; the rounds needed grow with the logarithm of the
     longest chain.
     """
@@ -45,13 +46,14 @@ def components(links: DataFrame, paths: list[str], most_rounds: int = 60) -> Dat
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     own: list[str] = []
     edges = saved(edges, "links", own)
+    key = F.pmod("a", F.lit(2))
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.withColumn("k", key).join(least.withColumn("k", key), ["a", "k"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("k", key).join(least.withColumn("k", key), ["a", "k"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links", own)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

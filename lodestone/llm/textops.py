@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes; any odd numbers do.
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
