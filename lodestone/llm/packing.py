@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 WINDOW, QUANTUM, BLOCK_TOKENS, END_ID = 4096, 32, 6_000_000, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS, _SLICE = 600_000, 1 << 20
+_CACHE_WORDS, _SLICE = 500_000, 1 << 20
 #: A run of letters, and the run of signs after it, are tokens of their own (but for apostrophes).
 _TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;?@\[-`{-~]+)")
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -68,35 +68,30 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > _CACHE_WORDS:
+    def __missing__(self, w: bytes) -> bytes:
+        """Two generations of words are held: when the newer is full it becomes the older, from
+        which words that are still in use come back."""
+        ids = self.older.get(w)
+        if ids is None:
+            ids = self._made(w)
+        if len(self) >= _CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-            new = list(words)
-        parts = {w: self._parts(w) for w in new}
-        other = []
-        for w in {x for p in parts.values() for x in p if x not in self}:
-            if _LETTERS.fullmatch(w):
-                self[w] = _packed([t.id for t in self.tokenizer.model.tokenize(w.decode() if w.isascii() else "".join(map(_BYTE.__getitem__, w)))])
-            else:
-                other.append(w)
-        if other:
-            for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-                self[w] = _packed(e.ids)
-        for w, p in parts.items():
-            if w not in self:
-                self[w] = b"".join(self[x] for x in p)
+        self[w] = ids
+        return ids
 
-    @staticmethod
-    def _parts(w: bytes) -> tuple[bytes, ...]:
-        """What a word's ids are made of: itself, or its letters in lower case and the signs behind them."""
+    def _made(self, w: bytes) -> bytes:
+        if _LETTERS.fullmatch(w):
+            return _packed([t.id for t in self.tokenizer.model.tokenize(w.decode() if w.isascii() else "".join(map(_BYTE.__getitem__, w)))])
         found = _TAILED.fullmatch(w)
-        letters, tail = (found[1], (found[2],)) if found else (w, ())
-        if letters.isascii():
-            return (letters.lower(), *tail)
-        return (letters.decode().lower().encode() if _LATIN.fullmatch(letters) else letters, *tail)
+        if found:
+            return self[found[1]] + self[found[2]]
+        if _LATIN.fullmatch(w):
+            return self[w.decode().lower().encode()]
+        return _packed(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
 
     def ids(self, text: bytes) -> bytes:
         out, at = [], 0
@@ -106,11 +101,7 @@ class WordIds(dict):
                 found = re.compile(rb"[ \n\t\r]").search(text, at + _SLICE)
                 to = found.end() if found else to
             words = text[at:to].split()
-            try:
-                out.append(b"".join(map(self.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.__getitem__, words)))
+            out.append(b"".join(map(self.__getitem__, words)))
             at = to
         return b"".join(out)
 
