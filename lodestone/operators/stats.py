@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scratch import drop, saved
+from lodestone.functions.scratch import saved
 from lodestone.operators.graph import component_labels, degrees
 from lodestone.operators.propagation import adjacency
 
@@ -120,11 +120,11 @@ def usage(calls: DataFrame, doc: str = "doc_id", operation: str = "operation") -
 def cost(calls: DataFrame, prices: DataFrame, fallback: str) -> DataFrame:
     """calls with their cost: tokens times the model's prices, or the fallback model's. ``prices``
     has a row for each model: model, input_price, output_price (decimal)."""
-    spare = prices.where(F.col("model") == fallback).select(F.col("input_price").alias("_i"), F.col("output_price").alias("_o"))
-    price = lambda a, b: F.coalesce(F.col(a), F.col(b)).cast("decimal(18,12)")
+    spare = prices.where(F.col("model") == fallback).first()
+    price = lambda c: F.coalesce(F.col(c), F.lit(spare[c])).cast("decimal(18,12)")
     tokens = lambda c: F.col(c).cast("decimal(18,0)")
-    out = calls.join(F.broadcast(prices), "model", "left").crossJoin(F.broadcast(spare))  # a fixed list and one row
-    return out.withColumn("cost", tokens("input_tokens") * price("input_price", "_i") + tokens("output_tokens") * price("output_price", "_o")).drop("_i", "_o", "input_price", "output_price")
+    out = calls.join(F.broadcast(prices), "model", "left")  # a list of models
+    return out.withColumn("cost", tokens("input_tokens") * price("input_price") + tokens("output_tokens") * price("output_price")).drop("input_price", "output_price")
 
 
 def usage_between(late: DataFrame, early: DataFrame, keys: list[str]) -> DataFrame:

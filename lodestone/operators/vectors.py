@@ -96,9 +96,11 @@ def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector:
     one matrix product, and only pairs over theta leave it. The number of blocks of a graph
     follows its measured size."""
     by = [graph] if graph else []
-    sizes = vectors.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     rows = vectors.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"))
-    rows = rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))  # one row
+    if by:
+        rows = rows.join(vectors.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), by)
+    else:
+        rows = rows.withColumn("nb", F.lit(-(-vectors.count() // block)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     rows = rows.select(*by, "id", "v", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     kind = dict(vectors.dtypes)

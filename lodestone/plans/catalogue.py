@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.functions.arrow import code_similarity, rouge_l
+from lodestone.functions import salvage
+from lodestone.functions.arrow import clean_html, code_similarity, rouge_l
 from lodestone.operators import alignment, chunking, evaluation, graph, matching, propagation, records, stats, training, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +123,29 @@ def chunk_config_sweep(spark, d):
         F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
+@query()
+def llm_extract_pipeline(spark, d):
+    """Graphs of all documents by the stand-in model, and the counts of each."""
+    from lodestone.functions.models import RuleExtractor
+    from lodestone.plans.corpus_graph import CorpusGraph
+
+    return CorpusGraph.from_documents(table(spark, d, "documents"), RuleExtractor()).stats()
+
+
+@query()
+def clean_html_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", clean_html("html").alias("cleaned"))
+
+
+@query("""SELECT event_id, upper(trim(json_extract_string(props, '$.k'))) AS k, 1::BIGINT AS n FROM events""")
+def json_array_salvage(spark, d):
+    """The number in an event's properties, as text in an array inside an answer."""
+    number = F.regexp_extract("props", r"([0-9]+)", 1)
+    answer = F.concat(F.lit('Found: ["'), number, F.lit(' ", 7, null] as asked'))
+    rows = table(spark, d, "events").select("event_id", salvage.json_strings(answer).alias("found"))
+    return rows.select("event_id", F.get("found", F.lit(0)).alias("k"), F.size("found").cast("long").alias("n"))
+
+
 @query()
 def sentence_chunks_split(spark, d):
     return chunking.sentence_windows(table(spark, d, "documents"), 1, 0, split_long=True)
@@ -250,9 +274,8 @@ def edge_merge(spark, d):
 missing AS (SELECT *, row_number() OVER (PARTITION BY graph_id, entity_name ORDER BY a, b) AS r FROM ends WHERE entity_name NOT IN (SELECT p_brand FROM part))
 SELECT graph_id, entity_name, '"UNKNOWN"' AS entity_type, {_PACK} FROM missing WHERE r = 1""")
 def placeholder_nodes(spark, d):
-    nodes = table(spark, d, "part").select(F.col("p_brand").alias("entity_name")).distinct()
+    nodes = _mentions(spark, d).select("graph_id", "entity_name").distinct()
     edges = graph.merge_edges(_relations(spark, d))
-    nodes = edges.select("graph_id").distinct().join(F.broadcast(nodes), F.lit(True))  # brands are a short fixed list
     return _packed(graph.placeholders(nodes, edges))
 
 
@@ -377,7 +400,7 @@ def augment_stats(spark, d):
     e = table(spark, d, "embeddings")
     aug = vectors.augment(_explicit(spark, d), vectors.similar_pairs(e, THETA), THETA)
     counts = aug.agg(F.count_if(F.col("order") == 0).alias("edges_added"), F.count("*").alias("total_edges"))
-    return counts.crossJoin(e.agg(F.count("*").alias("num_entities"))).withColumn("threshold", F.lit(THETA))  # one row each
+    return counts.withColumn("num_entities", F.lit(e.count())).withColumn("threshold", F.lit(THETA))
 
 
 @query(f"""WITH {_E}, u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM e),

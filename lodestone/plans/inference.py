@@ -35,7 +35,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, kind: str, encoder: Encode
 def answer(items: DataFrame, hits: DataFrame, llm: LLM, item: str = "doc_index", template: str = PROMPT, most_words: int | None = None) -> DataFrame:
     """item, question, prediction, truth, num_chunks_used, f1 of items (item, question, truths)."""
     context = hits.groupBy(item).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n\n").alias("context"), F.count("*").alias("num_chunks_used"))
-    rows = items.join(context, item)
+    rows = items.select(item, "question", "truths").join(context, item)
     text = F.col("context") if most_words is None else t.truncate_words(F.col("context"), most_words)
     rows = rows.withColumn("prompt", t.fill(F.lit(template), context=text, input=F.col("question"))).drop("context")
     done = complete(rows, "prompt", "prediction", llm)
