@@ -9,6 +9,13 @@ for each bit of it that may differ (left out of the key), so every pair within
 2 * tables - 1 bits meets in a bucket. Candidates of a bucket are reranked with the original
 vectors in double precision; a pair that meets in several buckets counts in the first.
 
+Keys must be longer than the logarithm of the largest label, or buckets fill by chance and
+candidates grow with the square. So the number of tables follows the measured size of the
+largest label (plan()): fewer tables have longer keys but reach fewer bits, which more
+rotations, each learned from another start and with tables of its own, make up for. At every
+size a pair at the threshold is found with a chance of ``recall`` or more, by the distribution of
+its differing bits, and closer pairs with a greater one.
+
 Buckets (within one label) are compared in bounded blocks, so a hot group is spread over
 tasks; what leaves a task are sums of links for each vector and links that span what is
 connected, never the pairs. Equal vectors of a label are one class with their number, compared
@@ -16,8 +23,7 @@ once and counted for all. Rows whose bucket holds nobody within reach are droppe
 their vectors are sent.
 
 How many links are found is tested against brute force: all pairs within reach of the code
-distance are found, and pairs at the threshold lie beyond it with a chance of about 1 %
-(much less for closer pairs). ``reach`` is raised by more tables, at the price of larger buckets.
+distance are found.
 
 Cases: null, empty and zero vectors, vectors with null or non-finite components, and rows with
 a null label or vec_id link with nothing: n_links 0, component_id their own vec_id, kept true.
@@ -27,6 +33,7 @@ as one vector each. Other columns are ignored. An empty table has an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scratch import saved
+from lodestone.functions.scratch import drop, saved
 from lodestone.llm.buckets import block_pairs, grouped, run_pairs, runs, shared_keys
 from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import U64, mix
 
-BITS, TABLES, SAMPLE, BLOCK = 64, 5, 20_000, 1024
+BITS, RECALL, SAMPLE, BLOCK = 64, 0.98, 20_000, 1024
+
+
+def plan(largest: int, cosine: float, bits: int = BITS, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, rotations) for labels of up to ``largest`` vectors: the most tables whose keys
+    have a bit more than its logarithm, and the rotations that reach ``recall`` at the threshold."""
+    tables = next((t for t in (5, 4, 3) if bits / t - 2 >= math.log2(max(largest, 1))), 2)
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * tables))
+    return tables, 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
 class Rotation:
@@ -78,74 +94,103 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<f8") for x in column.to_pylist()])
-
-
 def _masks(bits: int, tables: int) -> tuple[list[int], np.ndarray]:
     """The mask of each table's part, and the table of each bit."""
     of = np.arange(bits) * tables // bits
     return [sum(1 << int(b) for b in np.flatnonzero(of == t)) for t in range(tables)], of
 
 
-def _file(shared, tables: int):
-    """(key, node, code): a row for each bit that a table's part may differ in."""
+def _code(shared):
+    """(label, node, dim, code): the codes of all rotations, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations: dict[int, Rotation] = shared.value
+        rotations: dict[int, list[Rotation]] = shared.value
         for batch in batches:
-            label, node = batch.column("label").to_numpy(), batch.column("node").to_numpy()
             raw = batch.column("vector").to_pylist()
-            dims = np.array([len(x) // 8 for x in raw])
+            dims = np.array([len(x) // 8 for x in raw], dtype=np.int32)
+            out: list[bytes] = [b""] * len(raw)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                rotation = rotations.get(int(dim)) or Rotation(int(dim))
-                masks, of = _masks(rotation.bits, tables)
-                codes = rotation.codes(np.stack([np.frombuffer(raw[i], "<f8") for i in at]))
-                salt = mix(label[at].astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(int(dim)))
-                for lo in range(0, len(at), 1024):
-                    c, s = codes[lo : lo + 1024], salt[lo : lo + 1024]
-                    keys = np.stack([mix((c & U64(masks[of[b]] & ~(1 << b))) ^ mix(s + U64(b + 1))) for b in range(rotation.bits)], axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(node[at[lo : lo + 1024]], rotation.bits)), pa.array(np.tile(np.arange(rotation.bits, dtype=np.int32), len(c))),
-                         pa.array(np.repeat(c.astype(np.int64), rotation.bits))],
-                        ["key", "node", "bit", "code"])
+                vector = np.frombuffer(b"".join(raw[i] for i in at), "<f8").reshape(len(at), -1)
+                for i, c in zip(at, np.stack([r.codes(vector) for r in rotations[int(dim)]], axis=1)):
+                    out[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("node"), pa.array(dims), pa.array(out, pa.binary())], ["label", "node", "dim", "code"])
 
     return run
 
 
-def _first_here(x: np.ndarray, bit: np.ndarray, masks: list[int], of: np.ndarray) -> np.ndarray:
-    """Whether a pair with code difference x meets first in the bucket of this bit: in no earlier
-    table, and in this one at the bit that differs, or the table's first if none does."""
-    ok = np.ones(len(x), dtype=bool)
-    table = of[bit]
+#: A key holds, in its low bits, the bit that it leaves out, counted over all rotations.
+_BIT = 10
+
+
+def _file(tables: int, bits: int):
+    """(key, node): a row for each bit of each rotation's code that a table's part may differ in."""
+    masks, of = _masks(bits, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, node = _codes(batch.column("code")), batch.column("node").to_numpy()
+            salt = mix(batch.column("label").to_numpy().astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15) + batch.column("dim").to_numpy().astype(U64))
+            n = codes.shape[1] * bits
+            for lo in range(0, len(codes), 512):
+                c, s = codes[lo : lo + 512], salt[lo : lo + 512]
+                keys = np.stack([(mix((c[:, b // bits] & U64(masks[of[b % bits]] & ~(1 << (b % bits)))) ^ mix(s + U64(b + 1))) << U64(_BIT)) | U64(b) for b in range(n)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(node[lo : lo + 512], n))], ["key", "node"])
+
+    return run
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=U64).reshape(len(raw), -1)
+
+
+def _counts_here(x: np.ndarray, bit: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Whether pairs with code differences x (a column for each rotation) are within reach and meet
+    first in the bucket of this bit: in no earlier rotation, in no earlier table of this one,
+    and in this table at the bit that differs, or at the table's first if none does."""
+    masks, of = _masks(bits, tables)
+    rotation, bit = bit // bits, bit % bits
+    far = np.bitwise_count(x) > 2 * tables - 1
+    rows = np.arange(len(x))
+    ok = ~far[rows, rotation]
+    for r in range(x.shape[1]):
+        ok &= (r >= rotation) | far[:, r]
+    y, table = x[rows, rotation], of[bit]
     for t, m in enumerate(masks):
-        errors = np.bitwise_count(x & U64(m))
+        errors = np.bitwise_count(y & U64(m))
         ok &= ~((t < table) & (errors <= 1))
-        start = int(np.flatnonzero(of == t)[0])
-        here = table == t
-        ok &= ~here | (errors == 1) | ((errors == 0) & (bit == start))
+        ok &= (table != t) | (errors == 1) | ((errors == 0) & (bit == int(np.flatnonzero(of == t)[0])))
     return ok
 
 
+def _candidates(at, code, bit, own, same, tables: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a, b in run_pairs(at):
+        use = same[a] | (own[a] != own[b])
+        a, b = a[use], b[use]
+        near = np.bitwise_count(code[a, bit[a] // bits] ^ code[b, bit[a] // bits]) <= 2 * tables - 1
+        a, b = a[near], b[near]
+        if len(a):
+            use = _counts_here(code[a] ^ code[b], bit[a], tables, bits)
+            yield a[use], b[use]
+
+
 def _meet(tables: int, bits: int):
-    """Rows of a block that have somebody in reach: (key, node)."""
-    masks, of = _masks(bits, tables)
+    """Rows of a block that have somebody in reach: (key, node, code)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["key", "bi", "bj"]):
-            code = t.column("code").to_numpy().astype(U64)
-            bit, own, key, node = (t.column(c).to_numpy() for c in ("bit", "own", "key", "node"))
+            own, key, node = (t.column(c).to_numpy() for c in ("own", "key", "node"))
+            bit = key & ((1 << _BIT) - 1)
             same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-            met = np.zeros(len(code), dtype=bool)
-            for a, b in run_pairs(at):
-                x = code[a] ^ code[b]
-                use = (same[a] | (own[a] != own[b])) & (np.bitwise_count(x) <= 2 * tables - 1)
-                a, b, x = a[use], b[use], x[use]
-                use = _first_here(x, bit[a], masks, of)
-                met[a[use]] = met[b[use]] = True
+            met = np.zeros(len(node), dtype=bool)
+            for a, b in _candidates(at, _codes(t.column("code")), bit, own, same, tables, bits):
+                met[a] = met[b] = True
             on = np.flatnonzero(met)
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on])], ["key", "node"])
+            code = t.column("code").take(pa.array(on)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on]), code], ["key", "node", "code"])
 
     return run
 
@@ -153,22 +198,21 @@ def _meet(tables: int, bits: int):
 def _rerank(tables: int, bits: int, cosine: float):
     """For each node of a block: links found in it, and a link that spans (to: the smallest node
     connected in this block, or the node itself)."""
-    masks, of = _masks(bits, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["key", "bi", "bj"]):
-            code = t.column("code").to_numpy().astype(U64)
-            bit, own, node, many = (t.column(c).to_numpy() for c in ("bit", "own", "node", "many"))
+            own, node, many = (t.column(c).to_numpy() for c in ("own", "node", "many"))
+            bit = t.column("key").to_numpy() & ((1 << _BIT) - 1)
             same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-            vector = _stack(t.column("vector"))
-            links = np.zeros(len(code), dtype=np.int64)
+            raw = t.column("vector").to_pylist()
+            width = np.array([len(x) for x in raw])
+            vector = np.zeros((len(raw), width.max() // 8))
+            for w in np.unique(width):  # a bucket has vectors of one length, a table of buckets may have more
+                on = np.flatnonzero(width == w)
+                vector[on, : w // 8] = np.frombuffer(b"".join(raw[i] for i in on), "<f8").reshape(len(on), -1)
+            links = np.zeros(len(node), dtype=np.int64)
             left, right = [], []
-            for a, b in run_pairs(at):
-                x = code[a] ^ code[b]
-                use = (same[a] | (own[a] != own[b])) & (np.bitwise_count(x) <= 2 * tables - 1)
-                a, b, x = a[use], b[use], x[use]
-                use = _first_here(x, bit[a], masks, of)
-                a, b = a[use], b[use]
+            for a, b in _candidates(at, _codes(t.column("code")), bit, own, same, tables, bits):
                 near = np.empty(len(a), dtype=bool)
                 for i in range(0, len(a), 8192):
                     s = slice(i, i + 8192)
@@ -203,40 +247,43 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
 
 
-def learn(unit: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> dict[int, Rotation]:
-    """A rotation for each vector length, from ``sample`` vectors at most, chosen by a hash of vec_id."""
+def learn(unit: DataFrame, rotations: int, sample: int = SAMPLE, bits: int = BITS) -> dict[int, list[Rotation]]:
+    """Rotations for each vector length, from about ``sample`` vectors at most, chosen by a hash of
+    vec_id; lengths that the sample lacks get rotations that nothing was learned for."""
+    dims = [r.d for r in unit.where("vector IS NOT NULL").select((F.octet_length("vector") / 8).cast("int").alias("d")).distinct().collect()]
     total = unit.where("vector IS NOT NULL").count()
     share = min(1.0, sample / total) if total else 0.0
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = unit.where(F.col("vector").isNotNull() & (draw < share)).select("vec_id", "vector").collect()
-    by: dict[int, list] = {}
+    by: dict[int, list] = {d: [] for d in dims}
     for r in sorted(rows, key=lambda r: (r.vec_id, bytes(r.vector))):
-        by.setdefault(len(r.vector) // 8, []).append(np.frombuffer(r.vector, "<f8"))
-    return {d: Rotation(d, bits).fit(np.stack(v)) for d, v in by.items()}
+        by[len(r.vector) // 8].append(np.frombuffer(r.vector, "<f8"))
+    return {d: [Rotation(d, bits, seed=3 + i).fit(np.stack(v) if v else np.zeros((0, d))) for i in range(rotations)] for d, v in by.items()}
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     paths: list[str] = []
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     unit = saved(rows.mapInArrow(_prepare, "vec_id long, label long, vector binary"), "unit", paths)
-    valid = unit.where("vector IS NOT NULL")
-    shared = spark.sparkContext.broadcast(learn(unit, sample, bits))
     # equal vectors of a label are one class; its node is its smallest vec_id
     hashed = unit.withColumn("same", F.when(F.col("vector").isNotNull(), F.sha1("vector")))
     classes = hashed.where("vector IS NOT NULL").groupBy("label", "same").agg(F.min(F.struct("vec_id", "vector")).alias("x"), F.count("*").alias("many"))
     classes = saved(classes.select("label", "same", F.col("x.vec_id").alias("node"), F.col("x.vector").alias("vector"), "many"), "classes", paths)
-    del valid
-    filed = classes.select("label", "node", "vector").mapInArrow(_file(shared, tables), "key long, node long, bit int, code long")
-    candidates = filed.join(shared_keys(filed, ["key"]), "key")
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, rotations = plan(largest, cosine, bits, recall)
+    shared = spark.sparkContext.broadcast(learn(unit, rotations, sample, bits))
+    coded = saved(classes.select("label", "node", "vector").mapInArrow(_code(shared), "label long, node long, dim int, code binary"), "coded", paths)
+    filed = coded.mapInArrow(_file(tables, bits), "key long, node long")
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = block_pairs(candidates, ["key"], "node", blocks).select("key", "bi", "bj", "node", "own", "bit", "code")
-    met = grouped(dealt, ["key", "bi", "bj"]).mapInArrow(_meet(tables, bits), "key long, node long").distinct()
-    met = saved(met.join(candidates, ["key", "node"]), "met", paths)
-    full = met.drop("n").join(shared_keys(met, ["key"]), "key")
-    full = block_pairs(full, ["key"], "node", blocks).join(classes.select("node", "vector", "many"), "node")
-    found = grouped(full.select("key", "bi", "bj", "node", "own", "bit", "code", "vector", "many"), ["key", "bi", "bj"])
+    rows = filed.join(shared_keys(filed, ["key"]), "key").join(coded.select("node", "code"), "node")
+    rows = grouped(block_pairs(rows.select("key", "node", "code", "n"), ["key"], "node", blocks), ["key", "bi", "bj"])
+    # a node of a large bucket can meet somebody in several pairs of blocks
+    met = rows.mapInArrow(_meet(tables, bits), "key long, node long, code binary").dropDuplicates(["key", "node"])
+    met = saved(met, "met", paths)
+    full = block_pairs(met.join(shared_keys(met, ["key"]), "key"), ["key"], "node", blocks).join(classes.select("node", "vector", "many"), "node")
+    found = grouped(full.select("key", "bi", "bj", "node", "own", "code", "vector", "many"), ["key", "bi", "bj"])
     found = saved(found.mapInArrow(_rerank(tables, bits, cosine), "node long, links long, to long"), "found", paths)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct(), paths)
@@ -244,4 +291,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
     per_class = per_class.select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     out = hashed.select("vec_id", "label", "same").join(per_class, ["label", "same"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = saved(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "near")
+    drop(spark, *paths)
+    return out

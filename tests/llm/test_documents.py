@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, linededup, minhash, packing, pii
 
