@@ -216,10 +216,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, size: in
     roots = classes.select("high", "low", "n_shingles", "node").join(roots, "node", "left").select(
         "high", "low", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     out = signed.drop("sig").join(roots, ["high", "low", "n_shingles"], "left")
-    return out.select(
+    out = out.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = saved(out, "near")  # a few numbers a row; all other tables go
+    drop(spark, *paths)
+    return out
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
