@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lodestone-")), "lodestone.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(top):
             for name in sorted(names):
