@@ -277,7 +277,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sam
     coded = saved(classes.select("label", "node", "vector").mapInArrow(_code(shared), "label long, node long, dim int, code binary"), "coded", paths)
     filed = coded.mapInArrow(_file(tables, bits), "key long, node long")
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = filed.join(shared_keys(filed, ["key"]), "key").join(coded.select("node", "code"), "node")
+    rows = filed.join(shared_keys(filed, ["key"]).hint("merge"), "key").join(coded.select("node", "code"), "node")
     rows = grouped(block_pairs(rows.select("key", "node", "code", "n"), ["key"], "node", blocks), ["key", "bi", "bj"])
     # a node of a large bucket can meet somebody in several pairs of blocks
     met = rows.mapInArrow(_meet(tables, bits), "key long, node long, code binary").dropDuplicates(["key", "node"])

@@ -38,7 +38,7 @@ from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import BLANK, U64, Words, blocks, constants, mix, shingles
 
 SIZE, BITS = 64, 8
-BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES = 2048, 512, 8 << 20
+BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES, BROADCAST_BYTES = 2048, 512, 8 << 20, 16 << 20
 
 
 def reach(similarity: float, size: int = SIZE, slack: float = 4.0) -> int:
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, size: in
     classes = saved(classes, "classes", paths)
     keys = classes.select("node", "sig").mapInArrow(_keys(size, bits, chunks), "key long, node long")
     buckets = shared_keys(keys, ["key"])
-    rows = keys.join(buckets, "key").join(classes.select("node", "sig"), "node")
+    # a sort-merge join at every size: adaptive execution splits it where a key is hot
+    rows = keys.join(buckets.hint("merge"), "key").join(classes.select("node", "sig"), "node")
     rows = block_pairs(rows, ["key"], "node", F.ceil(F.col("n") / BLOCK_ROWS))
     near = grouped(rows.select("key", "bi", "bj", "node", "own", "sig"), ["key", "bi", "bj"]).mapInArrow(_within(r, bits), "a long, b long")
     clusters = components(near, paths)
@@ -204,7 +205,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, size: in
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = saved(members, "members", paths)
     # classes of one doc_id can differ in text; each text of a class's first document comes along
-    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(members, texts.doc_id == members.node).select("node", "cluster", "text")
+    # no shuffle of the texts while the members are few: two numbers a row, counted first
+    near_texts = F.broadcast(members) if members.count() * 16 <= BROADCAST_BYTES else members.hint("merge")
+    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(near_texts, texts.doc_id == F.col("node")).select("node", "cluster", "text")
     sizes = members.join(classes.select("node", "n_shingles"), "node").groupBy("cluster").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
     found = found.join(sizes, "cluster")

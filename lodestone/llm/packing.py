@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 WINDOW, QUANTUM, BLOCK_TOKENS, END_ID = 4096, 32, 6_000_000, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS, _SLICE = 500_000, 1 << 20
+_CACHE_WORDS, _SLICE = 250_000, 1 << 20
 #: A run of letters, and the run of signs after it, are tokens of their own (but for apostrophes).
 _TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;?@\[-`{-~]+)")
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
