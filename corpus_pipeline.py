@@ -26,8 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from its documents; n_chars follows the text."""
-    kept = linededup.strip_lines(docs)
+    """Boilerplate lines of a source go from its documents; n_chars follows the text. Near copies, as
+    the next stage finds them, count as one page, so that a large group keeps its own text until one
+    of it is chosen. A document of boilerplate only keeps its text, for the next stage to compare."""
+    kept = linededup.strip_lines(docs, groups=linededup.near_groups(docs, NEAR_PERCENT), whole=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -4,8 +4,10 @@ Site-relative frequency: the host is the ``source``. For each host and line, the
 contain the line are divided by the host's pages; a line over ``ratio`` on at least
 ``least_pages`` pages is boilerplate of that host and is dropped from all its documents.
 Pages count by content: exact copies of a page on one host are one page, so that a page
-copied very often doesn't make boilerplate of its own text. ``least_pages`` keeps hosts of a
-few pages from losing lines that only one or two pages have.
+copied very often doesn't make boilerplate of its own text. With ``groups`` (doc_id and the
+group of near copies it is in) the pages of a group on one host are one page too, for the same
+reason; op1_line_dedup, whose SQL knows exact copies only, has none. ``least_pages`` keeps hosts
+of a few pages from losing lines that only one or two pages have.
 
 Lines are compared without the spaces, tabs and carriage returns at their ends; blank lines
 are never dropped. The counts work on 16-byte digests of lines and pages, with partial
@@ -16,7 +18,8 @@ measured size is below ``broadcast_bytes`` and else a join that can be split whe
 
 Cases: a null text stays null (0 lines) and counts as a page without lines; an empty text
 has one blank line. A null source counts as a host of its own, apart from ''. A document of
-boilerplate only gets an empty text. Other columns stay as they are.
+boilerplate only gets an empty text, or with ``whole`` keeps its text as it is. Other columns
+stay as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scratch import saved
+from lodestone.llm import minhash
 
 RATIO, LEAST_PAGES, BROADCAST_BYTES = 0.05, 5, 16 << 20
 
@@ -42,29 +46,46 @@ def _strip(line):
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, line_md5 (binary), pages, host_pages: the lines over the ratio."""
-    pages = docs.select(_host().alias("host"), _digest(F.coalesce("text", F.lit(""))).alias("page"), "text")
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+def near_groups(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, near: the documents that have near copies (by minhash), and the smallest of the group."""
+    gone = minhash.near_duplicates(docs, percent).where("NOT kept").select("doc_id", F.col("component_id").alias("near"))
+    return gone.unionByName(gone.select(F.col("near").alias("doc_id"), "near")).groupBy("doc_id").agg(F.min("near").alias("near"))
+
+
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, groups: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """host, line_md5 (binary), pages, host_pages: the lines over the ratio. groups: as of near_groups()."""
+    ids = [] if groups is None else [F.col("doc_id").cast("long").alias("doc_id")]
+    pages = docs.select(*ids, _host().alias("host"), _digest(F.coalesce("text", F.lit(""))).alias("page"), "text")
     stripped = F.filter(F.transform(F.split("text", "\n", -1), _strip), lambda x: x != "")
-    lines = pages.select("host", "page", F.explode(F.array_distinct(stripped)).alias("line"))
-    lines = lines.select("host", _digest(F.col("line")).alias("line_md5"), "page").distinct()
+    lines = pages.select(*ids, "host", "page", F.explode(F.array_distinct(stripped)).alias("line"))
+    lines = lines.select(*ids, "host", _digest(F.col("line")).alias("line_md5"), "page")
+    if groups is not None:
+        # digests are joined, not texts; the groups are two numbers a row, counted first
+        groups = saved(groups, "groups")
+        groups = F.broadcast(groups) if groups.count() * 16 <= broadcast_bytes else groups.hint("merge")
+        near = F.coalesce(F.col("near").cast("string").cast("binary"), F.col("page"))
+        pages, lines = (x.join(groups, "doc_id", "left").withColumn("page", near) for x in (pages.drop("text"), lines))
+    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    lines = lines.select("host", "line_md5", "page").distinct()
     counts = lines.groupBy("host", "line_md5").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     return counts.join(totals, "host").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def strip_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, str] | None = None) -> DataFrame:
+def strip_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, str] | None = None, groups: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without boilerplate lines. counts: names for two more
-    columns (long), the lines of the text and those dropped; names that are taken raise."""
+    columns (long), the lines of the text and those dropped; names that are taken raise. groups: near
+    copies that count as one page. whole: a text that would have no line but blank ones stays as it is."""
     if counts and set(counts) & set(docs.columns):
         raise ValueError(f"docs has columns named {sorted(set(counts) & set(docs.columns))}")
-    found = boilerplate(docs, ratio, least_pages).groupBy("host").agg(F.collect_set("line_md5").alias("__ld_drop"))
+    found = boilerplate(docs, ratio, least_pages, groups, broadcast_bytes).groupBy("host").agg(F.collect_set("line_md5").alias("__ld_drop"))
     found = saved(found.withColumnRenamed("host", "__ld_host"), "boilerplate")
     size = found.agg(F.sum(F.length("__ld_host") + 24 * F.size("__ld_drop"))).first()[0] or 0
     joined = docs.join(F.broadcast(found) if size <= broadcast_bytes else found, _host() == F.col("__ld_host"), "left")
     lines = F.split("text", "\n", -1)
     is_kept = lambda x: ~F.array_contains(F.col("__ld_drop"), _digest(_strip(x))) | (_strip(x) == "")
     joined = joined.withColumn("__ld_kept", F.when(F.col("__ld_drop").isNull(), lines).otherwise(F.filter(lines, is_kept)))
+    if whole:
+        joined = joined.withColumn("__ld_kept", F.when(F.exists("__ld_kept", lambda x: _strip(x) != ""), F.col("__ld_kept")).otherwise(lines))
     out = [F.array_join("__ld_kept", "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
