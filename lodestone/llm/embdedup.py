@@ -2,9 +2,9 @@
 
 Iterative quantisation: from a bounded sample of unit vectors, a rotation is learned
 that brings the rotated vectors near to their signs (alternating the signs and the orthogonal
-Procrustes solution); a vector's code is the signs of its rotated, centred coordinates, ``bits``
-of them, which the rotation keeps balanced. Vectors with a cosine of ``cosine`` or more
-differ in few bits. The codes are cut into ``tables`` parts and filed in each part's table once
+Procrustes solution); it is learned from centred vectors, but a vector's code is the ``bits``
+signs of its rotated coordinates as they are: seen from the mean, near vectors lie at wider
+angles than their cosine says. Vectors with a cosine of ``cosine`` or more differ in few bits. The codes are cut into ``tables`` parts and filed in each part's table once
 for each bit of it that may differ (left out of the key), so every pair within
 2 * tables - 1 bits meets in a bucket. Candidates of a bucket are reranked with the original
 vectors in double precision; a pair that meets in several buckets counts in the first.
@@ -13,8 +13,10 @@ Keys must be longer than the logarithm of the largest label, or buckets fill by
 candidates grow with the square. So the number of tables follows the measured size of the
 largest label (plan()): fewer tables have longer keys but reach fewer bits, which more
 rotations, each learned from another start and with tables of its own, make up for. At every
-size a pair at the threshold is found with a chance of ``recall`` or more, by the distribution of
-its differing bits, and closer pairs with a greater one.
+size a pair at the threshold is to be found with a chance of ``recall`` or more, by the distribution of
+its differing bits, and closer pairs with a greater one; learn() measures it on pairs made at the
+threshold from the sample and adds rotations, ``MOST`` at most, until it holds. Vectors with a large common mean
+share bits, so their buckets are fuller: that costs time and loses nothing.
 
 Buckets (within one label) are compared in bounded blocks, so a hot group is spread over
 tasks; what leaves a task are sums of links for each vector and links that span what is
@@ -47,6 +49,8 @@ from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import U64, mix
 
 BITS, RECALL, SAMPLE, BLOCK = 64, 0.98, 20_000, 1024
+#: The most rotations: a key has 10 bits for the bit that it leaves out.
+MOST, PAIRS = 16, 4000
 
 
 def plan(largest: int, cosine: float, bits: int = BITS, recall: float = RECALL) -> tuple[int, int]:
@@ -64,15 +68,13 @@ class Rotation:
     def __init__(self, dim: int, bits: int = BITS, rounds: int = 30, seed: int = 3):
         self.dim, self.bits, self.rounds = dim, bits, rounds
         rng = np.random.default_rng(seed)
-        self.mean = np.zeros(dim)
         # longer codes than dimensions need several rotations side by side
         self.parts = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-bits // dim))]
 
     def fit(self, x: np.ndarray) -> "Rotation":
         if len(x) < self.dim:
             return self
-        self.mean = x.mean(axis=0)
-        x = x - self.mean
+        x = x - x.mean(axis=0)
         for i, r in enumerate(self.parts):
             for _ in range(self.rounds):
                 u, _, v = np.linalg.svd(x.T @ np.where(x @ r >= 0, 1.0, -1.0))
@@ -81,7 +83,7 @@ class Rotation:
         return self
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        signs = (x - self.mean) @ np.concatenate(self.parts, axis=1)[:, : self.bits] >= 0
+        signs = x @ np.concatenate(self.parts, axis=1)[:, : self.bits] >= 0
         out = np.zeros(len(x), dtype=U64)
         for i in range(self.bits):
             out |= signs[:, i].astype(U64) << U64(i)
@@ -247,7 +249,35 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
 
 
-def learn(unit: DataFrame, rotations: int, sample: int = SAMPLE, bits: int = BITS) -> dict[int, list[Rotation]]:
+def threshold_pairs(x: np.ndarray, cosine: float, n: int = PAIRS, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sets of n pairs (unit vectors of x, others at just that cosine): apart in any direction, and in
+    the directions in which vectors of x differ."""
+    rng, found = np.random.default_rng(seed), []
+    a = x[rng.integers(0, len(x), n)]
+    for away in (rng.normal(size=a.shape), x[rng.integers(0, len(x), n)] - x[rng.integers(0, len(x), n)]):
+        away = away - (away * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        on = size[:, 0] > 1e-9
+        if on.any():
+            found.append((a[on], cosine * a[on] + math.sqrt(max(0.0, 1 - cosine**2)) * away[on] / size[on]))
+    return found
+
+
+def enough(samples: dict[int, np.ndarray], tables: int, rotations: int, cosine: float, bits: int = BITS, recall: float = RECALL) -> dict[int, list[Rotation]]:
+    """``rotations`` for each length or as many more, alike for all, as find ``recall`` of threshold_pairs()."""
+    made: dict[int, list[Rotation]] = {d: [] for d in samples}
+    tests = [(d, a, b, np.zeros(len(a), dtype=bool)) for d, x in samples.items() if len(x) for a, b in threshold_pairs(x, cosine)]
+    for i in range(max(rotations, MOST)):
+        if i >= rotations and all(met.mean() >= recall for *_, met in tests):
+            break
+        for d, x in samples.items():
+            made[d].append(Rotation(d, bits, seed=3 + i).fit(x))
+        for d, a, b, met in tests:
+            met |= np.bitwise_count(made[d][-1].codes(a) ^ made[d][-1].codes(b)) <= 2 * tables - 1
+    return made
+
+
+def learn(unit: DataFrame, tables: int, rotations: int, cosine: float, sample: int = SAMPLE, bits: int = BITS, recall: float = RECALL) -> dict[int, list[Rotation]]:
     """Rotations for each vector length, from about ``sample`` vectors at most, chosen by a hash of
     vec_id; lengths that the sample lacks get rotations that nothing was learned for."""
     dims = [r.d for r in unit.where("vector IS NOT NULL").select((F.octet_length("vector") / 8).cast("int").alias("d")).distinct().collect()]
@@ -258,7 +288,7 @@ def learn(unit: DataFrame, rotations: int, sample: int = SAMPLE, bits: int = BIT
     by: dict[int, list] = {d: [] for d in dims}
     for r in sorted(rows, key=lambda r: (r.vec_id, bytes(r.vector))):
         by[len(r.vector) // 8].append(np.frombuffer(r.vector, "<f8"))
-    return {d: [Rotation(d, bits, seed=3 + i).fit(np.stack(v) if v else np.zeros((0, d))) for i in range(rotations)] for d, v in by.items()}
+    return enough({d: np.stack(v) if v else np.zeros((0, d)) for d, v in by.items()}, tables, rotations, cosine, bits, recall)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
@@ -273,7 +303,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sam
     classes = saved(classes.select("label", "same", F.col("x.vec_id").alias("node"), F.col("x.vector").alias("vector"), "many"), "classes", paths)
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, rotations = plan(largest, cosine, bits, recall)
-    shared = spark.sparkContext.broadcast(learn(unit, rotations, sample, bits))
+    shared = spark.sparkContext.broadcast(learn(unit, tables, rotations, cosine, sample, bits, recall))
     coded = saved(classes.select("label", "node", "vector").mapInArrow(_code(shared), "label long, node long, dim int, code binary"), "coded", paths)
     filed = coded.mapInArrow(_file(tables, bits), "key long, node long")
     blocks = F.ceil(F.col("n") / BLOCK)

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from lodestone.llm import embdedup
 from test_documents import docs, prose
 
 # --- pipeline: near copies count as one page ---
@@ -29,3 +33,33 @@ def test_a_group_of_near_copies_keeps_its_text_once(spark, tmp_path):
     assert texts[300] == "the footer\n"  # boilerplate only: stays, and the next stage keeps one
     left = {x.doc_id for x in stage["minhash_near_dedup"](spark, stripped, str(tmp_path)).collect()}
     assert left == {1, 300} | {100 + i for i in range(140)}
+
+
+# --- op5_embedding_near_dedup: recall with a common mean ---
+
+
+def at_the_threshold(kind):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 64))
+    if kind == "tight":
+        x[:6400] = rng.normal(size=64) + 0.15 * x[:6400]
+    else:
+        x += kind * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, 0.98 * x + (1 - 0.98**2) ** 0.5 * y
+
+
+@pytest.mark.parametrize("kind", [1.25, 1.8, 2.5, "tight"])
+def test_recall_with_a_common_mean(kind):
+    x, y = at_the_threshold(kind)
+    made = [embdedup.Rotation(64, seed=3 + i).fit(x) for i in range(8)]
+    for tables, rotations in ((5, 1), (4, 2), (3, 3), (2, 8)):
+        far = np.min([np.bitwise_count(r.codes(x) ^ r.codes(y)) for r in made[:rotations]], axis=0)
+        assert (far <= 2 * tables - 1).mean() > 0.97
+        more = embdedup.enough({64: x}, tables, rotations, 0.98)[64]
+        assert rotations <= len(more) <= embdedup.MOST
+        far = np.min([np.bitwise_count(r.codes(x) ^ r.codes(y)) for r in more], axis=0)
+        assert (far <= 2 * tables - 1).mean() > 0.975
