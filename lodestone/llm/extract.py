@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass looks at each block alone:
 blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader
 comments (by tag, role, class or id) and blocks with many links are bad; long ones with many
-stop words are good; short or unclear ones are left open. In the second pass an open block
+stop words are good, and outside ``article`` and ``main`` also long ones that end like a sentence,
+in any language; short or unclear ones are left open. In the second pass an open block
 gets the label of its nearest decided neighbours: if both sides agree that label, else the
 nearer one, at equal distance the good one if the block has stop words enough, ends like a
 sentence or is in an article; headings go with what follows them. Inside ``article`` or
@@ -14,7 +15,8 @@ into one space, ends trimmed, one newline between blocks. ``br`` is white space.
 
 Malformed pages: unclosed elements end with the element around them, a tag that never
 closes ends the text, and an advert or notice that is never closed ends where an ``article`` or
-``main`` begins. If nothing is good and text stands in forms, forms are read like other elements.
+``main`` begins. If nothing is good and text stands in forms, forms are read like other elements; if
+still nothing is, blocks of more than ``SHORT`` characters are long enough.
 
 Cases: null and empty html, and pages without a good block, have an empty text and 0
 characters. Every row has its row in the result; other columns are ignored.
@@ -35,6 +37,7 @@ from lodestone.llm.textops import blocks as slices
 
 #: Rules of the first pass: characters of a block, share of stop words, share of characters in links.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_MAIN = 70, 200, 0.30, 0.32, 0.2, 0.5
+ENDS, QUOTES = frozenset(".!?…。！？؟।"), "\"'”’“»«)]」』 "
 RESULT = "page_id long, url string, text string, n_chars long"
 
 #: Fixed lists. Stop words of English, German, French and Spanish.
@@ -185,7 +188,7 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
     return found
 
 
-def _alone(b: Block) -> str:
+def _alone(b: Block, long: int = LONG) -> str:
     """good, bad, near (open, but with stop words) or open."""
     n = len(b.text)
     density = b.links / n
@@ -196,16 +199,19 @@ def _alone(b: Block) -> str:
     if n < SHORT:
         return "bad" if b.links and not b.main else "open"
     if stops >= STOP_HIGH:
-        return "good" if n > LONG or b.main else "near"
-    if stops >= STOP_LOW:
+        return "good" if n > long or b.main else "near"
+    if stops >= STOP_LOW and b.main:
         return "near"
-    return "open" if b.main else "bad"
+    # the lists are short and of four languages: few stop words alone don't make a block bad
+    if not b.main and b.text.rstrip(QUOTES)[-1:] in ENDS:
+        return "good" if n > long else "near"
+    return "near" if stops >= STOP_LOW else "open"
 
 
-def label(found: list[Block]) -> list[Block]:
+def label(found: list[Block], long: int = LONG) -> list[Block]:
     """Both passes."""
     for b in found:
-        b.label = _alone(b)
+        b.label = _alone(b, long)
     n = len(found)
     decided = {"good", "bad"}
     first = [b.label for b in found]
@@ -243,6 +249,8 @@ def main_text(page: str | None) -> str:
     found = label(page_blocks(page))
     if not any(b.label == "good" for b in found) and re.search(r"<form\b", page, re.I):
         found = label(page_blocks(page, forms=True))
+    if not any(b.label == "good" for b in found):
+        found = label(page_blocks(page), SHORT)
     return "\n".join(b.text for b in found if b.label == "good")
 
 

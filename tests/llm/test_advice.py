@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import embdedup
+from lodestone.llm import embdedup, extract
 from test_documents import docs, prose
 
 # --- pipeline: near copies count as one page ---
@@ -63,3 +63,18 @@ def test_recall_with_a_common_mean(kind):
         assert rotations <= len(more) <= embdedup.MOST
         far = np.min([np.bitwise_count(r.codes(x) ^ r.codes(y)) for r in more], axis=0)
         assert (far <= 2 * tables - 1).mean() > 0.975
+
+
+# --- op3_html_extraction: text in plain div and p, of any language ---
+
+RU = "Вчера вечером в городе прошёл сильный дождь, многие улицы оказались под водой, жители ждали помощи до утра."
+ES = "Ayer llovió mucho cerca de Madrid; varias calles quedaron cubiertas de agua, vecinos esperaron ayuda hasta hoy."
+
+
+@pytest.mark.parametrize("text", [RU, ES])
+def test_text_outside_an_article_in_any_language(text):
+    page = "<body><nav><a href=/>Menu</a></nav><div>%s</div><p>Buy <a href=/b>this very good thing and that very good thing of the same shop.</a></p><footer>all of it</footer>"
+    two, three = f"{text} {text}", f"{text} {text} {text}"
+    assert extract.main_text(page % f"<p>{two}</p><p>{text}</p><p>{three}</p>") == f"{two}\n{text}\n{three}"
+    assert extract.main_text(page % f"<p>{two}</p>") == two
+    assert extract.main_text(page % f"<p>{text}</p>") == text
