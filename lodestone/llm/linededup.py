@@ -1,16 +1,16 @@
 """Operator 1: drop the lines that a site repeats on many of its pages.
 
-Site-relative frequency: the host is the ``source``. For each host and line, the pages that
-contain the line are divided by the host's pages; a line over ``ratio`` on at least
-``least_pages`` pages is boilerplate of that host and is dropped from all its documents.
-Pages count by content: exact copies of a page on one host are one page, so that a page
-copied very often doesn't make boilerplate of its own text. With ``groups`` (doc_id and the
-group of near copies it is in) the pages of a group on one host are one page too, for the same
-reason; op1_line_dedup, whose SQL knows exact copies only, has none. ``least_pages`` keeps hosts
-of a few pages from losing lines that only one or two pages have.
+Site-relative frequency: the host is the ``source``. For each host and line, the pages (rows)
+that contain the line are divided by the host's pages; a line over ``ratio`` is boilerplate of that
+host and is dropped from all its documents. ``least_pages`` is 2: what only one page has isn't
+repeated, however few pages its host has.
+
+With ``groups`` (doc_id and the group of near copies it is in) the pages of a group on one host
+count as one page, so that a page copied very often doesn't make boilerplate of its own text
+before one of it is chosen; the pipeline does that, op1_line_dedup counts every row.
 
 Lines are compared without the spaces, tabs and carriage returns at their ends; blank lines
-are never dropped. The counts work on 16-byte digests of lines and pages, with partial
+are never dropped. The counts work on 16-byte digests of lines, with partial
 aggregation, so that neither a host with a third of all rows nor a line on every page meets
 in one task. A host has fewer boilerplate lines than lines on its mean page divided by
 ``ratio``; they reach the documents by a join on the host, which is a broadcast if their
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scratch import saved
 from lodestone.llm import minhash
 
-RATIO, LEAST_PAGES, BROADCAST_BYTES = 0.05, 5, 16 << 20
+RATIO, LEAST_PAGES, BROADCAST_BYTES = 0.05, 2, 16 << 20
 
 
 def _digest(c):
@@ -52,22 +52,25 @@ def near_groups(docs: DataFrame, percent: int) -> DataFrame:
     return gone.unionByName(gone.select(F.col("near").alias("doc_id"), "near")).groupBy("doc_id").agg(F.min("near").alias("near"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, groups: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, groups: DataFrame | None = None) -> DataFrame:
     """host, line_md5 (binary), pages, host_pages: the lines over the ratio. groups: as of near_groups()."""
-    ids = [] if groups is None else [F.col("doc_id").cast("long").alias("doc_id")]
-    pages = docs.select(*ids, _host().alias("host"), _digest(F.coalesce("text", F.lit(""))).alias("page"), "text")
     stripped = F.filter(F.transform(F.split("text", "\n", -1), _strip), lambda x: x != "")
-    lines = pages.select(*ids, "host", "page", F.explode(F.array_distinct(stripped)).alias("line"))
-    lines = lines.select(*ids, "host", _digest(F.col("line")).alias("line_md5"), "page")
+    ids = [] if groups is None else [F.col("doc_id").cast("long").alias("doc_id")]
+    pages = docs.select(*ids, _host().alias("host"))
+    lines = docs.select(*ids, _host().alias("host"), F.explode(F.array_distinct(stripped)).alias("line"))
+    lines = lines.select(*ids, "host", _digest(F.col("line")).alias("line_md5"))
+
+    def count(rows: DataFrame, *by: str) -> DataFrame:
+        """Pages by these columns: rows, but those of one group count once."""
+        if groups is None:
+            return rows.groupBy(*by).agg(F.count("*").alias("pages"))
+        rows = rows.join(groups.hint("merge"), "doc_id", "left").groupBy(*by, "near").agg(F.count("*").alias("n"))
+        return rows.groupBy(*by).agg(F.sum(F.when(F.col("near").isNull(), F.col("n")).otherwise(1)).alias("pages"))
+
     if groups is not None:
-        # digests are joined, not texts; the groups are two numbers a row, counted first
-        groups = saved(groups, "groups")
-        groups = F.broadcast(groups) if groups.count() * 16 <= broadcast_bytes else groups.hint("merge")
-        near = F.coalesce(F.col("near").cast("string").cast("binary"), F.col("page"))
-        pages, lines = (x.join(groups, "doc_id", "left").withColumn("page", near) for x in (pages.drop("text"), lines))
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    lines = lines.select("host", "line_md5", "page").distinct()
-    counts = lines.groupBy("host", "line_md5").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+        groups = saved(groups, "groups")  # digests are joined, not texts
+    totals = count(pages, "host").withColumnRenamed("pages", "host_pages")
+    counts = count(lines, "host", "line_md5").where(F.col("pages") >= least_pages)
     return counts.join(totals, "host").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
@@ -77,18 +80,22 @@ def strip_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     copies that count as one page. whole: a text that would have no line but blank ones stays as it is."""
     if counts and set(counts) & set(docs.columns):
         raise ValueError(f"docs has columns named {sorted(set(counts) & set(docs.columns))}")
-    found = boilerplate(docs, ratio, least_pages, groups, broadcast_bytes).groupBy("host").agg(F.collect_set("line_md5").alias("__ld_drop"))
-    found = saved(found.withColumnRenamed("host", "__ld_host"), "boilerplate")
-    size = found.agg(F.sum(F.length("__ld_host") + 24 * F.size("__ld_drop"))).first()[0] or 0
-    joined = docs.join(F.broadcast(found) if size <= broadcast_bytes else found, _host() == F.col("__ld_host"), "left")
+    mark = "_ld"  # begins no column of docs
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    of, drop, kept_lines = f"{mark}host", f"{mark}drop", f"{mark}kept"
+    found = boilerplate(docs, ratio, least_pages, groups).groupBy(F.col("host").alias(of)).agg(F.collect_set("line_md5").alias(drop))
+    found = saved(found, "boilerplate")
+    size = found.agg(F.sum(F.length(of) + 24 * F.size(drop))).first()[0] or 0
+    joined = docs.join(F.broadcast(found) if size <= broadcast_bytes else found, _host() == F.col(of), "left")
     lines = F.split("text", "\n", -1)
-    is_kept = lambda x: ~F.array_contains(F.col("__ld_drop"), _digest(_strip(x))) | (_strip(x) == "")
-    joined = joined.withColumn("__ld_kept", F.when(F.col("__ld_drop").isNull(), lines).otherwise(F.filter(lines, is_kept)))
+    is_kept = lambda x: ~F.array_contains(F.col(drop), _digest(_strip(x))) | (_strip(x) == "")
+    joined = joined.withColumn(kept_lines, F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, is_kept)))
     if whole:
-        joined = joined.withColumn("__ld_kept", F.when(F.exists("__ld_kept", lambda x: _strip(x) != ""), F.col("__ld_kept")).otherwise(lines))
-    out = [F.array_join("__ld_kept", "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        joined = joined.withColumn(kept_lines, F.when(F.exists(kept_lines, lambda x: _strip(x) != ""), F.col(kept_lines)).otherwise(lines))
+    out = [F.array_join(kept_lines, "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-        kept = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__ld_kept")).cast("long")
+        kept = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(kept_lines)).cast("long")
         out += [n.alias(counts[0]), (n - kept).alias(counts[1])]
     return joined.select(*out)

@@ -38,7 +38,7 @@ from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import BLANK, U64, Words, blocks, constants, mix, shingles
 
 SIZE, BITS = 64, 8
-BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES, BROADCAST_BYTES = 2048, 512, 8 << 20, 16 << 20
+BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES = 2048, 512, 8 << 20
 
 
 def reach(similarity: float, size: int = SIZE, slack: float = 4.0) -> int:
@@ -119,8 +119,12 @@ def _within(reach_: int, bits: int):
                 right.append(b[near])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             if len(a):
-                root = local_roots(a, b, len(node))
-                away = np.flatnonzero(root != np.arange(len(node)))
+                # by node, so that every bucket of a group links it to the same smallest node
+                order = np.argsort(node, kind="stable")
+                place = np.empty(len(node), dtype=np.int64)
+                place[order] = np.arange(len(node))
+                root = order[local_roots(place[a], place[b], len(node))[place]]
+                away = np.flatnonzero(node[root] != node)
                 pair = np.unique(np.stack([node[away], node[root[away]]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
@@ -138,9 +142,15 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def _confirm(reach_: int, percent: int, words: int, size: int):
+def _confirm(reach_: int, percent: int, words: int, size: int, bits: int):
     """Spanning links between the texts of a group, confirmed on their full sets."""
     factor, shift = constants(size, 11) | U64(1), constants(size, 12)
+    low = U64((1 << bits) - 1)
+
+    def signature(s: np.ndarray) -> np.ndarray:
+        if len(s) < 4096:
+            return mix((s[None, :] * factor[:, None] + shift[:, None]).min(axis=1)) & low
+        return mix(np.array([(s * f + g).min() for f, g in zip(factor, shift)], dtype=U64)) & low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["cluster", "bi", "bj"]):
@@ -151,8 +161,7 @@ def _confirm(reach_: int, percent: int, words: int, size: int):
                 sets: list[np.ndarray] = []
                 for b in blocks(iter(part.select(["text"]).to_batches()), "text"):
                     sets += sets_of(*shingles(Words(b.column("text"), BLANK), words))
-                sig = np.stack([(mix((s[None, :] * factor[:, None] + shift[:, None]).min(axis=1)) & U64(255)).astype(np.uint8) if len(s) < 4096
-                                else np.array([mix((s * f + g).min(keepdims=True))[0] & U64(255) for f, g in zip(factor, shift)], dtype=np.uint8) for s in sets])
+                sig = np.stack([signature(s) for s in sets])
                 parent = list(range(len(sets)))
 
                 def find(i: int) -> int:
@@ -204,16 +213,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, size: in
     members = clusters.select("node", F.col("root").alias("cluster")).unionByName(
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = saved(members, "members", paths)
-    # classes of one doc_id can differ in text; each text of a class's first document comes along
-    # no shuffle of the texts while the members are few: two numbers a row, counted first
-    near_texts = F.broadcast(members) if members.count() * 16 <= BROADCAST_BYTES else members.hint("merge")
-    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(near_texts, texts.doc_id == F.col("node")).select("node", "cluster", "text")
     sizes = members.join(classes.select("node", "n_shingles"), "node").groupBy("cluster").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
-    found = found.join(sizes, "cluster")
+    sized = saved(members.join(sizes, "cluster"), "sized", paths)
+    # classes of one doc_id can differ in text; each text of a class's first document comes along.
+    # The one shuffle of all texts, by merge at every size; what follows moves texts of members only
+    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(sized.hint("merge"), texts.doc_id == F.col("node")).select("node", "cluster", "n", "volume", "text")
     found = block_pairs(found, ["cluster"], "node", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("volume") * 8 / BLOCK_TEXT_BYTES)))
     links = grouped(found.select("cluster", "bi", "bj", "node", "own", "text"), ["cluster", "bi", "bj"]).mapInArrow(
-        _confirm(r, percent, words, size), "a long, b long")
+        _confirm(r, percent, words, size, bits), "a long, b long")
     # documents of one set are linked through the class, and classes through one doc_id
     roots = components(links, paths)
     roots = classes.select("high", "low", "n_shingles", "node").join(roots, "node", "left").select(

@@ -48,11 +48,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, text, coalesce('=' || source, '') AS host, md5(coalesce(text, '')) AS page FROM documents),
-t AS (SELECT host, count(DISTINCT page) AS host_pages FROM d GROUP BY host),
+WITH d AS (SELECT doc_id, text, coalesce('=' || source, '') AS host, row_number() OVER () AS page FROM documents),
+t AS (SELECT host, count(*) AS host_pages FROM d GROUP BY host),
 l AS (SELECT DISTINCT host, page, trim(line, E' \t\r') AS line FROM (SELECT host, page, unnest(string_split(text, chr(10))) AS line FROM d)),
 b AS (SELECT host, line FROM (SELECT host, line, count(*) AS pages FROM l WHERE line <> '' GROUP BY ALL) JOIN t USING (host)
-  WHERE pages >= 5 AND pages > 0.05::DOUBLE * host_pages),
+  WHERE pages >= 2 AND pages > 0.05::DOUBLE * host_pages),
 h AS (SELECT host, list(line) AS drop FROM b GROUP BY host),
 k AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
   list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(h.drop, []), trim(x, E' \t\r'))) AS kept FROM d LEFT JOIN h USING (host))

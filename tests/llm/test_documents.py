@@ -166,23 +166,47 @@ def test_winnowing_keeps_a_print_of_every_window():
 # --- line dedup ---
 
 
-def test_line_dedup(spark):
-    rows = [(i, f"Menu \nunique {i}\n\nFooter") for i in range(20)] + [(100 + i, "Copy\nof a page\nFooter") for i in range(30)] + [(200, None), (201, ""), (202, "Menu\nFooter"), (203, LONG)]
-    df = docs(spark, rows).unionByName(docs(spark, [(300 + i, "Menu\nalone") for i in range(3)], source=None))
-    out = {r.doc_id: r for r in linededup.strip_lines(df, 0.3, 5, counts=("n_lines", "n_dropped")).collect()}
-    assert len(out) == df.count()
-    assert out[3].text == "unique 3\n" and (out[3].n_lines, out[3].n_dropped) == (4, 2)
-    assert out[100].text == "Copy\nof a page" and out[202].text == "" and out[202].n_dropped == 2
-    assert out[200].text is None and out[200].n_lines == 0 and out[201].text == "" and out[201].n_lines == 1
-    assert out[203].text == LONG and out[300].text == "Menu\nalone"
-    plain = linededup.strip_lines(df, 0.3, 5, broadcast_bytes=-1)
+def brute_strip(rows, ratio, least):
+    """rows: (doc_id, source, text); every row is a page."""
+    pages, on = {}, {}
+    for _, host, t in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for x in {x.strip(" \t\r") for x in (t or "").split("\n")} - {""}:
+            on[host, x] = on.get((host, x), 0) + 1
+    gone = {k for k, n in on.items() if n >= least and n > ratio * pages[k[0]]}
+    out = []
+    for i, h, t in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if (h, x.strip(" \t\r")) not in gone]
+        out.append((i, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("ratio, least", [(0.3, 5), (0.05, 2), (0.9, 2)])
+def test_line_dedup(spark, ratio, least):
+    rows = [(i, "s", f"Menu \nunique {i}\n\nFooter") for i in range(20)] + [(100 + i, "s", "Copy\nof a page\nFooter") for i in range(30)] + [(200, "s", None), (201, "s", ""), (202, "s", "Menu\nFooter"), (203, "s", LONG)]
+    rows += [(300 + i, None, "Menu\nalone\nalone") for i in range(3)] + [(7, "t", "twice\tx"), (7, "t", "twice\tx"), (None, "t", "one\ntwo"), (None, "t", "one\nthree"), (401, "u", "a page\nof its host"), (402, "", "null source is another\nMenu")]
+    df = spark.createDataFrame([(i, t, "en", s, 1, 5, "k", True, "h") for i, s, t in rows], EXTRA + ", _ld_host string")
+    out = linededup.strip_lines(df, ratio, least, counts=("n_lines", "n_dropped"))
+    want = brute_strip(rows, ratio, least)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    plain = linededup.strip_lines(df, ratio, least, broadcast_bytes=-1)
     assert plain.columns == df.columns
-    assert {r.doc_id: r.text for r in plain.collect()} == {k: v.text for k, v in out.items()}
+    assert sorted(((r.doc_id, r.text) for r in plain.collect()), key=str) == sorted(((w[0], w[3]) for w in want), key=str)
     assert linededup.strip_lines(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         linededup.strip_lines(df, counts=("node", "x"))
 
 
+def test_line_dedup_counts_a_group_once(spark):
+    page = "\n".join(prose(k, 9) for k in range(5))
+    rows = [(i, "s", page + "\nfoot") for i in range(30)] + [(100 + i, "s", f"{prose(50 + i, 9)}\nfoot") for i in range(30)] + [(None, "s", page)]
+    df = spark.createDataFrame([(i, t, "en", s, 1, 5, "k", True) for i, s, t in rows], EXTRA)
+    groups = spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, near long")
+    texts = {r.doc_id: r.text for r in linededup.strip_lines(df, 0.1, groups=groups).collect()}
+    assert texts[3] == page and texts[100] == prose(50, 9) and texts[None] == page  # 2 of 32 pages
+
+
 # --- personal data ---
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -371,3 +395,23 @@ def test_gradient_is_the_slope():
             down = loss()
             flat[i] = keep
             assert (up - down) / (2 * step) == pytest.approx(np.asarray(g).reshape(-1)[i], abs=1e-5)
+
+
+def test_buckets_of_a_group_link_to_one_node():
+    """A group that shares many buckets has as many different links as members, not as buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, keys = 300, 64
+    node = np.concatenate([rng.permutation(n) for _ in range(keys)])
+    key = np.repeat(np.arange(keys), n)
+    zero = pa.array(np.zeros(n * keys, np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(key), zero, zero, pa.array(node), zero, pa.array([bytes(64)] * (n * keys), pa.binary())], ["key", "bi", "bj", "node", "own", "sig"])
+    links = {(a, b) for out in minhash._within(20, 8)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    assert links == {(i, 0) for i in range(1, n)}
+
+
+def test_wide_signatures(spark):
+    rows = near_rows()
+    want, _ = brute_components(rows, 80)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 80, bits=16).collect() if r.doc_id is not None} == want
