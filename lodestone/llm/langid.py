@@ -6,9 +6,10 @@ network is trained in numpy on the driver from a bounded sample of labelled docu
 broadcast (some 100 kB). A text is cut into windows of ``window`` bytes, all of them are
 scored, and the mean of their probabilities, weighted by their letters, is the document's.
 
-The sample: at most ``sample_docs`` documents, dealt evenly to the ``most_languages`` most
-frequent values of ``lang``, each chosen by a hash of its doc_id, and ``sample_windows`` windows
-of each at places that follow from the same hash. Only rows whose crc32 of the doc_id isn't
+The sample: about ``sample_docs`` documents, dealt evenly to all values of ``lang`` but with
+``least_docs`` for each (or all that it has), chosen by a hash of doc_id, and ``sample_windows``
+windows of each at places that follow from the same hash. Every language with documents to learn
+from can be predicted; the sample is bounded by max(sample_docs, least_docs * languages) on average. Only rows whose crc32 of the doc_id isn't
 0 modulo 5 are learned from; the others are held out. Nothing but the text is an input.
 
 For scoring, embedding and filters are folded into tables of byte pairs, which gives the
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.textops import blocks, text_bytes
 
-WINDOW, SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 256, 2400, 4, 200
+WINDOW, SAMPLE_DOCS, SAMPLE_WINDOWS, LEAST_DOCS, STEPS = 256, 2400, 4, 16, 360
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 #: Letters of either case are one; what is neither an ASCII letter nor part of a longer character is a blank.
@@ -63,7 +64,7 @@ class ByteNet:
         for k in w:
             w[k] = w[k].astype(np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 360, batch: int = 64, rate: float = 0.004, seed: int = 7) -> "ByteNet":
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.004, seed: int = 7) -> "ByteNet":
         """x: windows of folded bytes; y: numbers of languages. Adam on the cross-entropy."""
         rng = np.random.default_rng(seed)
         self._start(rng)
@@ -154,34 +155,36 @@ def windows(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     return out, text
 
 
-def sample(docs: DataFrame, sample_docs: int, sample_windows: int, window: int, most_languages: int) -> list[tuple[str, int, str]]:
+def sample(docs: DataFrame, sample_docs: int, sample_windows: int, window: int, least_docs: int) -> list[tuple[str, int, str]]:
     """(language, doc_id, window of text), sorted: the bounded training sample."""
     learnable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(
         F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    counts = learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = learnable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
-    each = max(1, sample_docs // len(counts))
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row.lang, min(1.0, each / row["count"]))])
+    each = max(least_docs, sample_docs // len(counts))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in counts], "of string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = learnable.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     room = F.greatest(F.length("text") - F.lit(window) + 1, F.lit(1))
     place = lambda i: F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("window"), i), room).cast("int") + 1, F.lit(window))
-    rows = chosen.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(F.array(*[place(F.lit(i)) for i in range(sample_windows)])).alias("w"))
+    # a row of ``share`` for each language: as small as the counts that the driver has
+    chosen = learnable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text", draw.alias("draw")).join(F.broadcast(share), (F.col("lang") == F.col("of")) & (F.col("draw") < F.col("share")))
+    rows = chosen.select("lang", "doc_id", F.array_distinct(F.array(*[place(F.lit(i)) for i in range(sample_windows)])).alias("w"))
     return sorted((r.lang, r.doc_id, w) for r in rows.collect() for w in r.w)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, window: int = WINDOW, most_languages: int = MOST_LANGUAGES) -> ByteNet | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, window: int = WINDOW, least_docs: int = LEAST_DOCS) -> ByteNet | None:
     """The network, or None where nothing can be learned from."""
-    rows = sample(docs, sample_docs, sample_windows, window, most_languages)
+    rows = sample(docs, sample_docs, sample_windows, window, least_docs)
     parts = [(lang, *text_bytes(pa.array([w]))) for lang, _, w in rows]
     parts = [(lang, raw[:window], np.array([0, min(window, len(raw))])) for lang, raw, _ in parts if len(raw)]
     if not parts:
         return None
     languages = sorted({p[0] for p in parts})
+    number = {x: i for i, x in enumerate(languages)}
     x = np.concatenate([windows(raw, off, window)[0] for _, raw, off in parts])
-    y = np.array([languages.index(p[0]) for p in parts])
-    return ByteNet(languages, window=window).fit(x, y)
+    y = np.array([number[p[0]] for p in parts])
+    return ByteNet(languages, window=window).fit(x, y, steps=max(STEPS, 8 * len(languages)))
 
 
 def _predict(shared):

@@ -415,3 +415,35 @@ def test_wide_signatures(spark):
     rows = near_rows()
     want, _ = brute_components(rows, 80)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 80, bits=16).collect() if r.doc_id is not None} == want
+
+
+def test_every_language_can_be_predicted(spark):
+    """No number of languages is too many; each has a word of its own."""
+    rows = [(i, f"{prose(5000 + i % 250, 1)} " * 12, f"l{i % 250:03d}") for i in range(250 * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(df, sample_docs=500, sample_windows=1, window=48)
+    assert len(net.languages) == 250
+    got = langid.identify(df, net).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert len({r.lang_pred for r in got}) > 230 and np.mean([r.lang_pred == r.lang for r in got]) > 0.9
+
+
+def test_language_of_a_document_is_the_mean_of_its_windows(spark):
+    """Windows cut at fixed bytes, weighted by letters; ties go to the language that sorts first."""
+    net = langid.train(spark.createDataFrame([(i, t, lang) for i, t, lang in language_rows(200)], "doc_id long, text string, lang string"), sample_docs=100)
+    texts = [prose(3, 400), "der " * 64 + "12 34 " * 200 + "the of", "ä" * 300 + " x", "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(df, net).collect():
+        raw = texts[r.doc_id].encode()
+        total, mass = np.zeros(len(net.languages)), 0
+        for at in range(0, len(raw), net.window):
+            w = langid.FOLD[np.frombuffer(raw[at : at + net.window].ljust(net.window), np.uint8)]
+            letters = int((w != 32).sum())
+            total, mass = total + letters * net.probabilities(w[None])[0], mass + letters
+        if not mass:
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert r.lang_pred == net.languages[total.argmax()] and r.score == pytest.approx(total.max() / mass, abs=1e-5)
+    even = langid.ByteNet(["b", "a"], weights={k: np.zeros_like(v) for k, v in net.weights.items()})
+    even.weights |= {"out": np.zeros((48, 2), np.float32), "bias": np.zeros(2, np.float32)}
+    even.languages = ["a", "b"]
+    assert {(r.lang_pred, r.score) for r in langid.identify(df.limit(2), even).collect()} == {("a", 0.5)}
