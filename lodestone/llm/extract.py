@@ -2,13 +2,19 @@
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone:
 blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader
-comments (by tag, role, class or id) and blocks with many links are bad; long ones with many
-stop words are good, and outside ``article`` and ``main`` also long ones that end like a sentence,
-in any language; short or unclear ones are left open. In the second pass an open block
-gets the label of its nearest decided neighbours: if both sides agree that label, else the
-nearer one, at equal distance the good one if the block has stop words enough, ends like a
-sentence or is in an article; headings go with what follows them. Inside ``article`` or
-``main`` the element's ends count as good neighbours, elsewhere the page's ends count as bad.
+comments (by tag, role, class or id) are bad. In ``article`` and ``main`` all others are good
+but those that are mostly links and don't end like a sentence: list items and cells like that are
+bad, the rest is open. Elsewhere blocks with many links are bad; long ones with many
+stop words, or that end like a sentence in any language, are good; short or unclear ones are open.
+In the second pass an open block gets the label of its nearest decided neighbours: if both
+sides agree that label, else the nearer one, at equal distance the good one if the block has stop
+words enough, ends like a sentence or is in an article, and else the bad one; headings go with
+what follows them. Inside ``article`` or ``main`` the element's ends count as good neighbours,
+elsewhere the page's ends count as bad.
+
+A class or id counts by its whole names: each name between blanks whose words are all of the lists
+(``cookie-banner``, ``post-comments``), so that ``share-price`` is no share button. Attributes are read as
+HTML does, whatever their length: a quoted value ends at its quote.
 
 The text is the good blocks in page order: character references decoded, white space turned
 into one space, ends trimmed, one newline between blocks. ``br`` is white space.
@@ -60,15 +66,24 @@ OUT_NAMES = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These count only outside an article, where they may hold its headline.
 OUT_NAMES_OUTSIDE = frozenset("header masthead banner topbar".split())
+#: Words of names that say where or how large, not what.
+PLAIN_NAMES = frozenset(
+    "site page main global top bottom left right upper lower inner outer primary secondary box bar block wrap wrapper container content area section slot unit item items list "
+    "link links button buttons btn icon icons panel group row col column post posts article articles entry story form field input count title heading more js is has no by the and "
+    "header banner masthead topbar desktop mobile sticky fixed small large".split())
+COMMENT_NAMES = frozenset("comment comments commentlist commentform commenter disqus reply replies respond".split())
 #: Elements that a next one of the same kind closes.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+LIST_TAGS = frozenset("li dt dd td th tr ul ol dl menu dir".split())
 
+_VALUE = r"""\s*+=\s*+(?:"(?:[^"]*+)"|'(?:[^']*+)'|[^\s>"'][^\s>]*+)?+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>"""
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[\s/]++|[^\s/>=]++(?:{_VALUE})?+|=)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+_ATTRS = frozenset("class id role style hidden aria-hidden".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,6 +95,7 @@ class Block:
     out: bool
     main: int  # number of the article or main element, 0 outside
     heading: bool = False
+    listed: bool = False
     label: str = ""
 
 
@@ -91,17 +107,23 @@ def _unwanted(tag: str, attrs: str, in_main: bool) -> str:
         return ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in _ATTRS:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return "hidden"
         if name == "role" and value.lower() in OUT_ROLES:
             return "role"
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            hit = words & (OUT_NAMES if in_main or tag == "article" else OUT_NAMES | OUT_NAMES_OUTSIDE)
-            if any(w.startswith("comment") for w in words):
-                return "comment"
-            if hit and tag != "article":
-                return min(hit)
+            listed = OUT_NAMES if in_main or tag == "article" else OUT_NAMES | OUT_NAMES_OUTSIDE
+            for whole in value.split():
+                words = {w.lower() for w in _NAME.findall(whole)}
+                hit = words & listed
+                if not hit or not words <= listed | PLAIN_NAMES | COMMENT_NAMES:
+                    continue
+                if words & COMMENT_NAMES:
+                    return "comment"
+                if tag != "article":
+                    return min(hit)
     return ""
 
 
@@ -113,14 +135,14 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
     out_tag, out_depth, out_why = "", 0, ""
     mains: list[str] = []
     main = count = 0
-    heading = False
+    heading = listed = False
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, linked, bool(out_tag), main, heading))
+                found.append(Block(text, linked, bool(out_tag), main, heading, listed))
             parts.clear()
         linked = 0
 
@@ -131,12 +153,12 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
             if link:
                 linked += len("".join(page[at : m.start()].split()))
         at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"]:
                 parts.append(" ")
             continue
-        ending = bool(m["end"] or m["end2"])
+        ending = bool(m["end"])
         if tag == "a":
             link = 0 if ending else 1
             continue
@@ -147,6 +169,7 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
         if block:
             close()
             heading = not ending and tag in HEADINGS
+            listed = not ending and tag in LIST_TAGS
         if ending:
             if out_tag == tag:
                 out_depth -= 1
@@ -165,7 +188,7 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
             continue
         if out_tag and (out_tag == "p" and block or out_tag == tag and tag in SELF_CLOSING):
             out_tag = ""
-        why = _unwanted(tag, m["attrs"] or m["attrs2"] or "", bool(mains))
+        why = _unwanted(tag, m["attrs"], bool(mains))
         if forms and why == "form":
             why = ""
         if tag in ("article", "main"):
@@ -178,7 +201,7 @@ def page_blocks(page: str, forms: bool = False) -> list[Block]:
                 mains.append(tag)
         if out_tag:
             out_depth += out_tag == tag
-        elif why and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+        elif why and not (m["attrs"]).endswith("/"):
             if not block:
                 close()
             out_tag, out_depth, out_why = tag, 1, why
@@ -192,18 +215,21 @@ def _alone(b: Block, long: int = LONG) -> str:
     """good, bad, near (open, but with stop words) or open."""
     n = len(b.text)
     density = b.links / n
-    if b.out or density > (LINKS_MAIN if b.main else LINKS) or (not b.main and "©" in b.text):
+    sentence = b.text.rstrip(QUOTES)[-1:] in ENDS
+    if b.out:
+        return "bad"
+    if b.main:
+        return "good" if density <= LINKS_MAIN or sentence else "bad" if b.listed else "open"
+    if density > LINKS or "©" in b.text:
         return "bad"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if n < SHORT:
-        return "bad" if b.links and not b.main else "open"
+        return "bad" if b.links else "open"
     if stops >= STOP_HIGH:
-        return "good" if n > long or b.main else "near"
-    if stops >= STOP_LOW and b.main:
-        return "near"
+        return "good" if n > long else "near"
     # the lists are short and of four languages: few stop words alone don't make a block bad
-    if not b.main and b.text.rstrip(QUOTES)[-1:] in ENDS:
+    if sentence:
         return "good" if n > long else "near"
     return "near" if stops >= STOP_LOW else "open"
 
@@ -214,7 +240,8 @@ def label(found: list[Block], long: int = LONG) -> list[Block]:
         b.label = _alone(b, long)
     n = len(found)
     decided = {"good", "bad"}
-    first = [b.label for b in found]
+    # what is excluded from an article says nothing of its other blocks
+    first = ["" if b.main and b.out else b.label for b in found]
     before: list[tuple[int, str]] = []
     last: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(found):
@@ -228,7 +255,7 @@ def label(found: list[Block], long: int = LONG) -> list[Block]:
         else:
             after[i] = after[i + 1] if first[i + 1] not in decided else (i + 1, first[i + 1])
     for i, b in enumerate(found):
-        if first[i] in decided:
+        if b.label in decided:
             continue
         (p, left), (q, right) = before[i], after[i]
         if left == right:

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import html.parser
+import os
 import random
 import re
 
@@ -51,6 +53,91 @@ def test_main_texts(spark):
     assert extract.main_texts(df.limit(0)).count() == 0
 
 
+class Plain(html.parser.HTMLParser):
+    """Brute force for pages with an article: all blocks in it but those in excluded elements."""
+
+    BLOCKS = set("p li ul ol h1 h2 h3 div article section table tr td blockquote pre figure figcaption nav aside footer header form dl dt dd".split())
+    OUT = set("nav aside footer header form script style button".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.found, self.now, self.article, self.out = [], [], 0, []
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.found.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.now.append(" ")
+        self.article += tag == "article"
+        if self.out or tag in self.OUT - ({"header"} if self.article else set()) or dict(attrs).get("class") in ("ad", "comments", "cookie-banner", "related"):
+            if tag not in ("br", "img", "p", "li"):  # closed by hand in the pages below
+                self.out.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.cut()
+        if self.out and self.out[-1] == tag:
+            self.out.pop()
+        self.article -= tag == "article"
+
+    def handle_data(self, data):
+        if self.article and not self.out:
+            self.now.append(data)
+
+
+def random_page(seed):
+    """An article between menus, notices and comments, its blocks of many kinds and sizes."""
+    r = random.Random(seed)
+    words = lambda n: " ".join(r.choice(["the", "of", "tea", "über", "x &lt; y", "&eacute;t&#233;", "3 %", "R&amp;D", "<i>it</i>", "<b>and</b>", "\n  "]) for _ in range(n))
+    link = lambda n: f'<a href="/{r.random()}" title="a > b">{words(n)}.</a>'
+    out = [lambda: f"<nav><ul><li>{link(2)}</li></ul></nav>", lambda: f'<div class="ad"><div>{words(30)}</div></div>', lambda: f"<aside><h3>More</h3><p>{words(40)}</p></aside>",
+           lambda: f'<section class="related"><h3>x</h3><ul><li>{link(3)}</ul></section>', lambda: "<script>if (a < b) { x = '<p>no</p>' }</script>", lambda: f'<form action="/"><div>{words(5)}</div></form>',
+           lambda: f'<div class="cookie-banner"><div>{words(30)}</div></div>', lambda: f"<!-- <p>{words(3)}</p> -->", lambda: "<style>p > b {}</style>"]
+    own = [lambda: f"<p>{words(r.choice([1, 3, 60]))}</p>", lambda: f"<h2>{words(3)}</h2>", lambda: f"<p>See {link(4)}</p>", lambda: f"<ul><li>{words(5)}<li>{words(9)} {link(1)}</ul>", lambda: f"<p class='share-price'>{words(4)}<br>{words(2)}</p>",
+           lambda: f"<blockquote><p>{words(12)}</p></blockquote>", lambda: f"<table><tr><td>{words(2)}</td><td>{words(3)}</td></tr></table>", lambda: f"<pre>{words(6)}</pre>", lambda: f"<div>{words(7)}<div>{words(2)}</div>{words(1)}</div>",
+           lambda: f"<figure><img alt=\"{'x' * r.choice([3, 9000])} > \"><figcaption>{words(3)}</figcaption></figure>", lambda: f"<header><h1>{words(4)}</h1></header>"]
+    body = "".join(r.choice(own)() if r.random() < 0.8 else r.choice(out)() for _ in range(r.randint(1, 25)))
+    around = lambda: "".join(r.choice(out)() for _ in range(r.randint(0, 3)))
+    return f"<!DOCTYPE html><html><head><title>t</title></head><body>{around()}<article>{body}</article>{around()}<div class=\"comments\"><div>{words(30)}</div></div><footer>{words(9)}</footer></body></html>"
+
+
+def test_articles_match_brute_force():
+    for seed in range(400):
+        page = random_page(seed)
+        assert extract.main_text(page) == "\n".join(Plain(page).found), (seed, page)
+
+
+def test_pages_of_the_tables_match_brute_force(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(path).collect()
+    got = {r.page_id: r.text for r in extract.main_texts(spark.read.parquet(path)).collect()}
+    for r in rows:
+        assert got[r.page_id] == "\n".join(Plain(r.html or "").found)
+
+
+def test_an_article_loses_nothing_by_links_or_neighbours():
+    assert extract.main_text("<article><p>See <a>the long report on the climate</a>.</p><p>Text of it.</p></article>") == "See the long report on the climate.\nText of it."
+    assert extract.main_text('<article><h1>T</h1><p>A b.</p><ul><li><a>one</a><li><a>two</a></ul><p class="related">no</p><p class="share-price">C</p></article>') == "T\nA b.\nC"
+    assert extract.main_text('<article class="commentary"><p>A</p><p id="ad-slot-3">no</p><div class="post-comments">no</div><p>B</p></article>') == "A\nB"
+
+
+@pytest.mark.parametrize("size", [10, 5000, 1 << 20])
+def test_attributes_of_any_length(size):
+    x = "x" * size
+    assert extract.main_text(f'<article><p>A</p><img alt="{x}> no"><p title=\'{x}">\' class="comments">no</p><p data-a={x} class=ad>no</p><p alt="class=ad id=ad">B</article>') == "A\nB"
+
+
 # --- archives ---
 
 
