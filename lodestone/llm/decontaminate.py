@@ -7,10 +7,11 @@ an item has too are found by a join with the items' fingerprints, and each hit i
 to the windows around it, which are compared by two independent 64-bit hashes. An item of
 fewer words than ``window`` is one window of its own length and is looked for at every place.
 
-The items come to the documents in blocks: a block has ``block_words`` words of items at
-most (one item at least), so what is broadcast is bounded whatever the benchmark's size;
-a benchmark of one block needs one pass without a shuffle, a larger one a pass for each block
-and a merge of the hits. Items reach the driver one block at a time.
+The items come to the documents in blocks of about ``block_words`` words, cut between rows or, in
+a row that is longer, between words: pieces of a text overlap by ``window`` - 1 words, so that they
+have its windows and no others. So what the driver holds and broadcasts is bounded whatever the
+benchmark's size and whatever rows share an item_id; a benchmark of one block needs one pass
+without a shuffle, a larger one a pass for each block and a merge of the hits.
 
 Cases: null text has no words; a text without words is clean (n_words 0, items_sha256 of
 the empty string). Items without words never occur. Items that repeat a passage each count.
@@ -21,6 +22,7 @@ an item named ''. Repeated documents each get a row. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scratch import saved
+from lodestone.functions.scratch import drop, saved
 from lodestone.llm.textops import NOT_WORD, U64, Words, blocks, grams
 
 WINDOW, GRAM, BLOCK_WORDS = 10, 5, 1 << 20
+_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -157,20 +161,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64))], ["doc_id", "key", "n_words"])
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str | None]]]:
+def pieces(text: str | None, block_words: int, window: int) -> list[str | None]:
+    """The text, or parts of about ``block_words`` words that have all of its windows. A text is cut
+    only where both parts have ``window`` words."""
+    if text is None or len(text) <= 2 * block_words:
+        return [text]
+    w = _WORD.findall(text.translate(_LOWER))
+    step = max(block_words, window)
+    return [" ".join(w[i : i + step + window - 1]) for i in range(0, max(1, len(w) - window + 1), step)]
+
+
+def item_blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> Iterator[tuple[list[str], list[str | None]]]:
     """Items in blocks; only the block at hand is on the driver."""
     ids: list[str] = []
     texts: list[str | None] = []
     size = 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").distinct().orderBy("i")
     for row in rows.toLocalIterator():
-        n = len(row.text or "") // 2 + 1
-        if size and size + n > block_words and row.i != ids[-1]:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row.i)
-        texts.append(row.text)
-        size += n
+        for text in pieces(row.text, block_words, window):
+            n = len(text or "") // 2 + 1
+            if size and size + n > block_words:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(row.i)
+            texts.append(text)
+            size += n
     yield ids, texts
 
 
@@ -178,7 +193,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
     """RESULT for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = item_blocks(benchmark, block_words)
+    parts = item_blocks(benchmark, block_words, window)
     first, more = next(parts), next(parts, None)
     if more is None:
         shared = spark.sparkContext.broadcast(Items(*first, window, k))
@@ -217,8 +232,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """The rows of ``docs`` without a benchmark passage, all columns kept: one pass without
     a shuffle for each block of items."""
     spark = docs.sparkSession
-    for i, block in enumerate(item_blocks(benchmark, block_words)):
+    paths: list[str] = []
+    for i, block in enumerate(item_blocks(benchmark, block_words, window)):
         if i:
-            docs = saved(docs, "clean")
+            docs = saved(docs, "clean", paths)
+            drop(spark, *paths[:-1])
+            del paths[:-1]
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(Items(*block, window, k))), docs.schema)
     return docs

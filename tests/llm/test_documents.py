@@ -149,6 +149,37 @@ def test_overlaps_match_brute_force(spark, block_words):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for i, n, h, k, s in want if not h), key=str)
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 300])
+def test_an_item_of_many_rows_and_a_long_one(spark, block_words):
+    """Blocks are cut inside an item_id and inside a text; nothing is lost or made up."""
+    long = prose(700, 3000)
+    items = [("7", prose(600 + i, 30)) for i in range(60)] + [("", prose(660 + i, 12)) for i in range(40)] + [("8", long), ("8", prose(1, 3))]
+    w = long.split()
+    rows = [(i, " ".join([prose(i, 15), *w[i * 37 : i * 37 + 8 + i % 6], prose(i + 1, 15), *items[i][1].split()[3 : 11 + i % 4]])) for i in range(70)] + [(100, long), (101, " ".join(w[290:320])), (102, None)]
+    bench = spark.createDataFrame([(int(i) if i else None, t) for i, t in items], "item_id long, text string")
+    n_blocks = len(list(decontaminate.item_blocks(bench, block_words)))
+    assert n_blocks == 1 if block_words > 300 else n_blocks > 20
+    want = []
+    for i, t in rows:
+        n, hit, found = len(word_list(t)), set(), set()
+        for name, text in items:
+            one = brute_positions(t, text)
+            hit |= one
+            found |= {name} if one else set()
+        want.append((i, n, len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+    got = decontaminate.overlaps(docs(spark, rows), bench, block_words=block_words).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == sorted(want)
+    clean = {r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), bench, block_words=block_words).collect()}
+    assert clean == {i for i, _, h, *_ in want if not h}
+
+
+def brute_positions(t, text):
+    w, v = word_list(t), word_list(text)
+    n = min(10, len(v))
+    grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+    return {j for i in range(len(w) - n + 1) if n and tuple(w[i : i + n]) in grams for j in range(i, i + n)}
+
+
 def test_overlaps_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs(spark, ODD), bench).where("contaminated").count() == 0
