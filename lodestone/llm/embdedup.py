@@ -1,22 +1,23 @@
 """Operator 5: near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Iterative quantisation: from a bounded sample of unit vectors, a rotation is learned
-that brings the rotated vectors near to their signs (alternating the signs and the orthogonal
-Procrustes solution); it is learned from centred vectors, but a vector's code is the ``bits``
-signs of its rotated coordinates as they are: seen from the mean, near vectors lie at wider
-angles than their cosine says. Vectors with a cosine of ``cosine`` or more differ in few bits. The codes are cut into ``tables`` parts and filed in each part's table once
-for each bit of it that may differ (left out of the key), so every pair within
-2 * tables - 1 bits meets in a bucket. Candidates of a bucket are reranked with the original
-vectors in double precision; a pair that meets in several buckets counts in the first.
-
-Keys must be longer than the logarithm of the largest label, or buckets fill by chance and
-candidates grow with the square. So the number of tables follows the measured size of the
-largest label (plan()): fewer tables have longer keys but reach fewer bits, which more
-rotations, each learned from another start and with tables of its own, make up for. At every
-size a pair at the threshold is to be found with a chance of ``recall`` or more, by the distribution of
-its differing bits, and closer pairs with a greater one; learn() measures it on pairs made at the
-threshold from the sample and adds rotations, ``MOST`` at most, until it holds. Vectors with a large common mean
-share bits, so their buckets are fuller: that costs time and loses nothing.
+Iterative quantisation: from a bounded sample of unit vectors, rotations are learned
+that bring the rotated vectors near to their signs (alternating the signs and the orthogonal
+Procrustes solution). They are learned from centred vectors, but a vector's code is the signs
+of its rotated coordinates as they are: seen from the mean, near vectors lie at wider angles than
+their cosine says.
+
+Multi-index Hamming tables: each rotation, learned from another start, gives 64 bits, which are cut
+into two parts of 32; each part is a table, and two vectors meet where a whole part agrees. Two
+whose codes differ in fewer bits than there are tables meet for certain (pigeonhole); how many
+of those that differ in more do is a matter of chance, and of the number of tables.
+That number follows from ``cosine`` and ``recall`` alone: rotations() has as many as find a pair
+at the threshold with a chance of ``recall`` by the distribution of its differing bits, and enough()
+measures it on pairs made at the threshold from the sample, in any direction and in the directions
+in which the vectors differ, and adds rotations, ``MOST`` at most, until it holds. Closer pairs are found with a
+greater chance. Neither depends on how many vectors there are. A key has 32 bits for each label, so
+buckets begin to fill by chance beyond some 10^9 vectors of one label, which costs time and loses nothing; so
+does a large common mean, by which vectors share bits. Candidates of a bucket are reranked with the
+original vectors in double precision; a pair that meets in several tables counts in the first.
 
 Buckets (within one label) are compared in bounded blocks, so a hot group is spread over
 tasks; what leaves a task are sums of links for each vector and links that span what is
@@ -24,9 +25,6 @@ connected, never the pairs. Equal vectors of a label are one class with their nu
 once and counted for all. Rows whose bucket holds nobody within reach are dropped before
 their vectors are sent.
 
-How many links are found is tested against brute force: all pairs within reach of the code
-distance are found.
-
 Cases: null, empty and zero vectors, vectors with null or non-finite components, and rows with
 a null label or vec_id link with nothing: n_links 0, component_id their own vec_id, kept true.
 Vectors of different lengths don't link. Rows that repeat a vec_id and vector are counted
@@ -48,24 +46,24 @@ from lodestone.llm.buckets import block_pairs, grouped, run_pairs, runs, shared_
 from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import U64, mix
 
-BITS, RECALL, SAMPLE, BLOCK = 64, 0.98, 20_000, 1024
-#: The most rotations: a key has 10 bits for the bit that it leaves out.
-MOST, PAIRS = 16, 4000
+BITS, RECALL, SAMPLE, BLOCK = 64, 0.99, 20_000, 1024
+#: Bits of a table's part; the most rotations: a key has 8 bits for its table.
+PART, MOST, PAIRS = 32, 40, 4000
+_TABLE = 8
 
 
-def plan(largest: int, cosine: float, bits: int = BITS, recall: float = RECALL) -> tuple[int, int]:
-    """(tables, rotations) for labels of up to ``largest`` vectors: the most tables whose keys
-    have a bit more than its logarithm, and the rotations that reach ``recall`` at the threshold."""
-    tables = next((t for t in (5, 4, 3) if bits / t - 2 >= math.log2(max(largest, 1))), 2)
+def rotations(cosine: float, recall: float = RECALL) -> int:
+    """Rotations whose tables find ``recall`` of the pairs at the threshold, by chance."""
     p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * tables))
-    return tables, 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
+    found = (1 - p) ** PART
+    tables = 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
+    return min(MOST, math.ceil(tables * PART / BITS))
 
 
 class Rotation:
     """The learned rotation: ``codes`` gives unsigned 64-bit codes of unit vectors."""
 
-    def __init__(self, dim: int, bits: int = BITS, rounds: int = 30, seed: int = 3):
+    def __init__(self, dim: int, bits: int = BITS, rounds: int = 12, seed: int = 3):
         self.dim, self.bits, self.rounds = dim, bits, rounds
         rng = np.random.default_rng(seed)
         # longer codes than dimensions need several rotations side by side
@@ -74,10 +72,10 @@ class Rotation:
     def fit(self, x: np.ndarray) -> "Rotation":
         if len(x) < self.dim:
             return self
-        x = x - x.mean(axis=0)
+        x = (x - x.mean(axis=0)).astype(np.float32)
         for i, r in enumerate(self.parts):
             for _ in range(self.rounds):
-                u, _, v = np.linalg.svd(x.T @ np.where(x @ r >= 0, 1.0, -1.0))
+                u, _, v = np.linalg.svd(x.T @ np.where(x @ r.astype(np.float32) >= 0, np.float32(1), np.float32(-1)))
                 r = u @ v
             self.parts[i] = r
         return self
@@ -96,12 +94,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _masks(bits: int, tables: int) -> tuple[list[int], np.ndarray]:
-    """The mask of each table's part, and the table of each bit."""
-    of = np.arange(bits) * tables // bits
-    return [sum(1 << int(b) for b in np.flatnonzero(of == t)) for t in range(tables)], of
-
-
 def _code(shared):
     """(label, node, dim, code): the codes of all rotations, end to end."""
 
@@ -121,27 +113,18 @@ def _code(shared):
     return run
 
 
-#: A key holds, in its low bits, the bit that it leaves out, counted over all rotations.
-_BIT = 10
-
-
-def _file(tables: int, bits: int):
-    """(key, node): a row for each bit of each rotation's code that a table's part may differ in."""
-    masks, of = _masks(bits, tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, node = _codes(batch.column("code")), batch.column("node").to_numpy()
-            salt = mix(batch.column("label").to_numpy().astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15) + batch.column("dim").to_numpy().astype(U64))
-            n = codes.shape[1] * bits
-            for lo in range(0, len(codes), 512):
-                c, s = codes[lo : lo + 512], salt[lo : lo + 512]
-                keys = np.stack([(mix((c[:, b // bits] & U64(masks[of[b % bits]] & ~(1 << (b % bits)))) ^ mix(s + U64(b + 1))) << U64(_BIT)) | U64(b) for b in range(n)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(node[lo : lo + 512], n))], ["key", "node"])
-
-    return run
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node): a row for each table, the number of the table in the key's low bits."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, node = _codes(batch.column("code")).view(np.uint32).astype(U64), batch.column("node").to_numpy()
+        salt = mix(batch.column("label").to_numpy().astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15) + batch.column("dim").to_numpy().astype(U64))
+        table = np.arange(parts.shape[1], dtype=U64)
+        for lo in range(0, len(parts), 2048):
+            s = slice(lo, lo + 2048)
+            keys = (mix(parts[s] ^ mix(salt[s, None] + table + U64(1))) << U64(_TABLE)) | table
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(node[s], len(table)))], ["key", "node"])
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -149,62 +132,44 @@ def _codes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype=U64).reshape(len(raw), -1)
 
 
-def _counts_here(x: np.ndarray, bit: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Whether pairs with code differences x (a column for each rotation) are within reach and meet
-    first in the bucket of this bit: in no earlier rotation, in no earlier table of this one,
-    and in this table at the bit that differs, or at the table's first if none does."""
-    masks, of = _masks(bits, tables)
-    rotation, bit = bit // bits, bit % bits
-    far = np.bitwise_count(x) > 2 * tables - 1
-    rows = np.arange(len(x))
-    ok = ~far[rows, rotation]
-    for r in range(x.shape[1]):
-        ok &= (r >= rotation) | far[:, r]
-    y, table = x[rows, rotation], of[bit]
-    for t, m in enumerate(masks):
-        errors = np.bitwise_count(y & U64(m))
-        ok &= ~((t < table) & (errors <= 1))
-        ok &= (table != t) | (errors == 1) | ((errors == 0) & (bit == int(np.flatnonzero(of == t)[0])))
-    return ok
-
-
-def _candidates(at, code, bit, own, same, tables: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _counts_here(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether pairs with code differences x (a column for each rotation) agree in this table's
+    part and in no earlier one."""
+    same = np.ascontiguousarray(x).view(np.uint32) == 0
+    return same[np.arange(len(x)), table] & (same.argmax(axis=1) == table)
+
+
+def _candidates(at, code, table, own, same) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in run_pairs(at):
         use = same[a] | (own[a] != own[b])
         a, b = a[use], b[use]
-        near = np.bitwise_count(code[a, bit[a] // bits] ^ code[b, bit[a] // bits]) <= 2 * tables - 1
-        a, b = a[near], b[near]
-        if len(a):
-            use = _counts_here(code[a] ^ code[b], bit[a], tables, bits)
-            yield a[use], b[use]
-
-
-def _meet(tables: int, bits: int):
-    """Rows of a block that have somebody in reach: (key, node, code)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in runs(batches, ["key", "bi", "bj"]):
-            own, key, node = (t.column(c).to_numpy() for c in ("own", "key", "node"))
-            bit = key & ((1 << _BIT) - 1)
-            same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-            met = np.zeros(len(node), dtype=bool)
-            for a, b in _candidates(at, _codes(t.column("code")), bit, own, same, tables, bits):
-                met[a] = met[b] = True
-            on = np.flatnonzero(met)
-            code = t.column("code").take(pa.array(on)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on]), code], ["key", "node", "code"])
-
-    return run
-
-
-def _rerank(tables: int, bits: int, cosine: float):
+        for i in range(0, len(a), 1 << 15):
+            p, q = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+            use = _counts_here(code[p] ^ code[q], table[p])
+            yield p[use], q[use]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block that meet somebody for the first time: (key, node, code)."""
+    for t, at in runs(batches, ["key", "bi", "bj"]):
+        own, key, node = (t.column(c).to_numpy() for c in ("own", "key", "node"))
+        same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
+        met = np.zeros(len(node), dtype=bool)
+        for a, b in _candidates(at, _codes(t.column("code")), key & ((1 << _TABLE) - 1), own, same):
+            met[a] = met[b] = True
+        on = np.flatnonzero(met)
+        code = t.column("code").take(pa.array(on)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on]), code], ["key", "node", "code"])
+
+
+def _rerank(cosine: float):
     """For each node of a block: links found in it, and a link that spans (to: the smallest node
     connected in this block, or the node itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["key", "bi", "bj"]):
             own, node, many = (t.column(c).to_numpy() for c in ("own", "node", "many"))
-            bit = t.column("key").to_numpy() & ((1 << _BIT) - 1)
+            table = t.column("key").to_numpy() & ((1 << _TABLE) - 1)
             same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
             raw = t.column("vector").to_pylist()
             width = np.array([len(x) for x in raw])
@@ -214,7 +179,7 @@ def _rerank(tables: int, bits: int, cosine: float):
                 vector[on, : w // 8] = np.frombuffer(b"".join(raw[i] for i in on), "<f8").reshape(len(on), -1)
             links = np.zeros(len(node), dtype=np.int64)
             left, right = [], []
-            for a, b in _candidates(at, _codes(t.column("code")), bit, own, same, tables, bits):
+            for a, b in _candidates(at, _codes(t.column("code")), table, own, same):
                 near = np.empty(len(a), dtype=bool)
                 for i in range(0, len(a), 8192):
                     s = slice(i, i + 8192)
@@ -263,21 +228,23 @@ def threshold_pairs(x: np.ndarray, cosine: float, n: int = PAIRS, seed: int = 5)
     return found
 
 
-def enough(samples: dict[int, np.ndarray], tables: int, rotations: int, cosine: float, bits: int = BITS, recall: float = RECALL) -> dict[int, list[Rotation]]:
-    """``rotations`` for each length or as many more, alike for all, as find ``recall`` of threshold_pairs()."""
+def enough(samples: dict[int, np.ndarray], cosine: float, recall: float = RECALL) -> dict[int, list[Rotation]]:
+    """rotations() for each length or as many more, alike for all, as find ``recall`` of threshold_pairs()."""
     made: dict[int, list[Rotation]] = {d: [] for d in samples}
     tests = [(d, a, b, np.zeros(len(a), dtype=bool)) for d, x in samples.items() if len(x) for a, b in threshold_pairs(x, cosine)]
-    for i in range(max(rotations, MOST)):
-        if i >= rotations and all(met.mean() >= recall for *_, met in tests):
+    least = rotations(cosine, recall)
+    for i in range(MOST):
+        if i >= least and all(met.mean() >= recall for *_, met in tests):
             break
         for d, x in samples.items():
-            made[d].append(Rotation(d, bits, seed=3 + i).fit(x))
+            made[d].append(Rotation(d, seed=3 + i).fit(x))
         for d, a, b, met in tests:
-            met |= np.bitwise_count(made[d][-1].codes(a) ^ made[d][-1].codes(b)) <= 2 * tables - 1
+            differ = made[d][-1].codes(a) ^ made[d][-1].codes(b)
+            met |= (differ.view(np.uint32).reshape(-1, 2) == 0).any(axis=1)
     return made
 
 
-def learn(unit: DataFrame, tables: int, rotations: int, cosine: float, sample: int = SAMPLE, bits: int = BITS, recall: float = RECALL) -> dict[int, list[Rotation]]:
+def learn(unit: DataFrame, cosine: float, sample: int = SAMPLE, recall: float = RECALL) -> dict[int, list[Rotation]]:
     """Rotations for each vector length, from about ``sample`` vectors at most, chosen by a hash of
     vec_id; lengths that the sample lacks get rotations that nothing was learned for."""
     dims = [r.d for r in unit.where("vector IS NOT NULL").select((F.octet_length("vector") / 8).cast("int").alias("d")).distinct().collect()]
@@ -288,10 +255,10 @@ def learn(unit: DataFrame, tables: int, rotations: int, cosine: float, sample: i
     by: dict[int, list] = {d: [] for d in dims}
     for r in sorted(rows, key=lambda r: (r.vec_id, bytes(r.vector))):
         by[len(r.vector) // 8].append(np.frombuffer(r.vector, "<f8"))
-    return enough({d: np.stack(v) if v else np.zeros((0, d)) for d, v in by.items()}, tables, rotations, cosine, bits, recall)
+    return enough({d: np.stack(v) if v else np.zeros((0, d)) for d, v in by.items()}, cosine, recall)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     paths: list[str] = []
@@ -301,20 +268,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sam
     hashed = unit.withColumn("same", F.when(F.col("vector").isNotNull(), F.sha1("vector")))
     classes = hashed.where("vector IS NOT NULL").groupBy("label", "same").agg(F.min(F.struct("vec_id", "vector")).alias("x"), F.count("*").alias("many"))
     classes = saved(classes.select("label", "same", F.col("x.vec_id").alias("node"), F.col("x.vector").alias("vector"), "many"), "classes", paths)
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    tables, rotations = plan(largest, cosine, bits, recall)
-    shared = spark.sparkContext.broadcast(learn(unit, tables, rotations, cosine, sample, bits, recall))
+    shared = spark.sparkContext.broadcast(learn(unit, cosine, sample, recall))
     coded = saved(classes.select("label", "node", "vector").mapInArrow(_code(shared), "label long, node long, dim int, code binary"), "coded", paths)
-    filed = coded.mapInArrow(_file(tables, bits), "key long, node long")
+    filed = coded.mapInArrow(_file, "key long, node long")
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = filed.join(shared_keys(filed, ["key"]).hint("merge"), "key").join(coded.select("node", "code"), "node")
     rows = grouped(block_pairs(rows.select("key", "node", "code", "n"), ["key"], "node", blocks), ["key", "bi", "bj"])
     # a node of a large bucket can meet somebody in several pairs of blocks
-    met = rows.mapInArrow(_meet(tables, bits), "key long, node long, code binary").dropDuplicates(["key", "node"])
+    met = rows.mapInArrow(_meet, "key long, node long, code binary").dropDuplicates(["key", "node"])
     met = saved(met, "met", paths)
     full = block_pairs(met.join(shared_keys(met, ["key"]), "key"), ["key"], "node", blocks).join(classes.select("node", "vector", "many"), "node")
     found = grouped(full.select("key", "bi", "bj", "node", "own", "code", "vector", "many"), ["key", "bi", "bj"])
-    found = saved(found.mapInArrow(_rerank(tables, bits, cosine), "node long, links long, to long"), "found", paths)
+    found = saved(found.mapInArrow(_rerank(cosine), "node long, links long, to long"), "found", paths)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct(), paths)
     per_class = classes.select("label", "same", "node", "many").join(counts, "node", "left").join(roots, "node", "left")

@@ -38,31 +38,51 @@ def test_a_group_of_near_copies_keeps_its_text_once(spark, tmp_path):
 # --- op5_embedding_near_dedup: recall with a common mean ---
 
 
-def at_the_threshold(kind):
+def sample_of(kind, n=8000):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(8000, 64))
-    if kind == "tight":
-        x[:6400] = rng.normal(size=64) + 0.15 * x[:6400]
-    else:
+    x = rng.normal(size=(n, 64))
+    if kind == "tight":  # 80 % in one group
+        x[: n * 4 // 5] = rng.normal(size=64) + 0.15 * x[: n * 4 // 5]
+    elif kind == "flat":  # variances that fall off
+        x *= 0.9 ** np.arange(64)
+    elif kind == "groups":
+        x = rng.normal(size=(50, 64))[rng.integers(0, 50, n)] + 0.3 * x
+    elif kind == "sparse":
+        x *= rng.random(x.shape) < 0.1
+        x[:, 0] += 1e-3
+    elif kind:
         x += kind * rng.normal(size=64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", [0, 1.25, 1.8, 2.5, "tight", "flat", "groups", "sparse"])
+def test_recall_at_the_threshold(kind):
+    """Of pairs at just the threshold, apart in any direction or in those of the data."""
+    x = sample_of(kind)
+    made = embdedup.enough({64: x}, 0.98)[64]
+    assert embdedup.rotations(0.98) <= len(made) <= embdedup.MOST
+    for seed in (77, 78):
+        for a, b in embdedup.threshold_pairs(x, 0.98, seed=seed):
+            met = np.zeros(len(a), dtype=bool)
+            for r in made:
+                met |= ((r.codes(a) ^ r.codes(b)).view(np.uint32).reshape(-1, 2) == 0).any(axis=1)
+            assert met.mean() > 0.98
+
+
+@pytest.mark.parametrize("kind", [2.5, "groups", "flat"])
+def test_links_against_brute_force(spark, kind):
+    """Vectors of one label with many pairs about the threshold."""
+    x = sample_of(kind, 400)
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=x.shape) * rng.uniform(0.05, 0.25, (400, 1)) / 8
+    x = np.concatenate([x, x + noise])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.normal(size=x.shape)
-    y -= (y * x).sum(axis=1, keepdims=True) * x
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    return x, 0.98 * x + (1 - 0.98**2) ** 0.5 * y
-
-
-@pytest.mark.parametrize("kind", [1.25, 1.8, 2.5, "tight"])
-def test_recall_with_a_common_mean(kind):
-    x, y = at_the_threshold(kind)
-    made = [embdedup.Rotation(64, seed=3 + i).fit(x) for i in range(8)]
-    for tables, rotations in ((5, 1), (4, 2), (3, 3), (2, 8)):
-        far = np.min([np.bitwise_count(r.codes(x) ^ r.codes(y)) for r in made[:rotations]], axis=0)
-        assert (far <= 2 * tables - 1).mean() > 0.97
-        more = embdedup.enough({64: x}, tables, rotations, 0.98)[64]
-        assert rotations <= len(more) <= embdedup.MOST
-        far = np.min([np.bitwise_count(r.codes(x) ^ r.codes(y)) for r in more], axis=0)
-        assert (far <= 2 * tables - 1).mean() > 0.975
+    sim = x @ x.T
+    want = int((sim >= 0.98).sum()) - len(x)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embdedup.near_vectors(df).collect()
+    links = sum(r.n_links for r in got)
+    assert want > 200 and 0.98 * want <= links <= want
 
 
 # --- op3_html_extraction: text in plain div and p, of any language ---
