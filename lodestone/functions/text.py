@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 #: ASCII punctuation, further CJK punctuation, English articles.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CJK_PUNCTUATION = "!?。。\"#$%&'()*+,-/:;<=>@[\\]^_`{|}~⦅⦆「」、、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
+CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‛„‟…‧﹏."
 ARTICLES = ("a", "an", "the")
 BLANKS = " \t\n\r\f\x0b"
+#: All that Unicode counts as white space, the ideographic space among it.
+WHITE = BLANKS + "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entities that have a name in XML.
 XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 KEPT_SIGNS = r".,;:!?'\"()\[\]{}/\\@#$%&*+=<>-"
@@ -79,7 +81,7 @@ def normalize_answer(c: Column) -> Column:
 
 def normalize_zh(c: Column) -> Column:
     """Lower case without punctuation and white space."""
-    return F.regexp_replace(_delete(F.lower(c), PUNCTUATION + CJK_PUNCTUATION), r"[ \t\n\r\f\x0b]+", "")
+    return _delete(F.lower(c), PUNCTUATION + CJK_PUNCTUATION + WHITE)
 
 
 def unquote_once(c: Column) -> Column:
@@ -149,28 +151,40 @@ def fill(template: Column, **values: Column) -> Column:
     return template
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """How many tokens two arrays share, repeats counted on both sides."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(
-        F.array_distinct(a), F.lit(0).cast("long"), lambda n, x: n + F.least(count(a, x), count(b, x)).cast("long"))
+def token_f1(prediction: Column, truth: Column) -> Column:
+    """Harmonic mean of the shares of shared tokens, repeats counted on both sides; 0 if nothing is
+    shared. Arrays of tokens: both are sorted together and read once, so the time of a row grows
+    with its tokens and not with their square, and neither array is evaluated again."""
+    side = lambda tokens, s: F.transform(tokens, lambda x: F.struct(x.alias("t"), F.lit(s).alias("s")))
+    start = F.struct(F.lit(None).cast("string").alias("t"), *[F.lit(0).alias(n) for n in ("p", "g", "same", "n")])
 
+    def read(a: Column, x: Column) -> Column:
+        new = ~x["t"].eqNullSafe(a["t"])
+        p, g = F.lit(1) - x["s"], x["s"]
+        return F.struct(
+            x["t"].alias("t"), F.when(new, p).otherwise(a["p"] + p).alias("p"), F.when(new, g).otherwise(a["g"] + g).alias("g"),
+            F.when(new, a["same"] + F.least(a["p"], a["g"])).otherwise(a["same"]).alias("same"), (a["n"] + 1).alias("n"))
 
-def token_f1(prediction: Column, truth: Column) -> Column:
-    """Harmonic mean of the shares of shared tokens; 0 if nothing is shared. Arrays of tokens."""
-    same = token_overlap(prediction, truth)
-    p, r = same / F.size(prediction), same / F.size(truth)
-    return F.when(same == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    def score(a: Column) -> Column:
+        same = a["same"] + F.least(a["p"], a["g"])
+        return F.when(same == 0, F.lit(0.0)).otherwise(F.lit(2.0) * same / a["n"])
+
+    return F.aggregate(F.sort_array(F.concat(side(prediction, 0), side(truth, 1))), start, read, score)
 
 
 def qa_f1(prediction: Column, truth: Column) -> Column:
     return token_f1(words(normalize_answer(prediction)), words(normalize_answer(truth)))
 
 
-def qa_f1_zh(prediction: Column, truth: Column) -> Column:
-    """By characters, where no segmenter is at hand."""
-    chars = lambda c: F.filter(F.split(normalize_zh(c), ""), lambda x: x != "")
-    return token_f1(chars(prediction), chars(truth))
+def characters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def qa_f1_zh(prediction: Column, truth: Column, segment=characters) -> Column:
+    """Over the words that ``segment`` makes of a text (its characters, where no segmenter is at hand),
+    each normalised, those that vanish dropped."""
+    parts = lambda c: F.filter(F.transform(segment(c), normalize_zh), lambda x: x != "")
+    return token_f1(parts(prediction), parts(truth))
 
 
 def hit_share(prediction: Column, truth_id: Column) -> Column:

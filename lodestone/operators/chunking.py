@@ -28,28 +28,36 @@ def documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(strip(F.col(text)).alias("content")).select(hash_id(F.col("content"), "doc-").alias("doc_key"), "content").dropDuplicates(["doc_key"])
 
 
-def _windows(tokens: Column, size: int, overlap: int) -> Column:
-    """start and tokens of each window; the last ones may lie inside the one before."""
+def _windows(docs: DataFrame, tokens: Column, size: int, step: int, index: str, joined: str = " ") -> DataFrame:
+    """index, chunk_ord, start, n, content of the windows of each document. The tokens are a column
+    of their own below the generator of the starts, so they are made once a document."""
+    rows = docs.select(index, tokens.alias("_tokens"))
+    starts = F.when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(index, "_tokens", F.posexplode(starts).alias("chunk_ord", "start"))
+    return rows.select(
+        index, F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("start").cast("long").alias("start"), F.least(F.lit(size), F.size("_tokens") - F.col("start")).cast("long").alias("n"),
+        F.array_join(F.slice("_tokens", F.col("start") + 1, F.lit(size)), joined).alias("content"))
+
+
+def _step(size: int, overlap: int) -> int:
     if overlap >= size:
         raise ValueError("overlap must be less than size")
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens")))
+    return size - overlap
 
 
 def word_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str = "doc_id", text: str = "text") -> DataFrame:
     """index, chunk_ord, n_words, content: windows over the pieces between single spaces."""
-    rows = docs.select(index, F.posexplode(_windows(F.split(text, " ", -1), size, overlap)).alias("chunk_ord", "w"))
-    rows = rows.select(index, F.col("chunk_ord").cast("long").alias("chunk_ord"), F.size("w.tokens").cast("long").alias("n_words"), strip(F.array_join("w.tokens", " ")).alias("content"))
-    return rows.where("content <> ''")
+    rows = _windows(docs, F.split(text, " ", -1), size, _step(size, overlap), index)
+    return rows.select(index, "chunk_ord", F.col("n").alias("n_words"), strip(F.col("content")).alias("content")).where("content <> ''")
 
 
-def token_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
+def token_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str = "doc_id", text: str = "text", tokens=words, joined: str = " ") -> DataFrame:
     """index, chunk_ord, start, tokens, content over the tokens of each document. ``tokens``
-    gives the array of tokens of a text column; blank-separated words unless given."""
-    rows = docs.select(index, F.posexplode(_windows(tokens(F.col(text)), size, overlap)).alias("chunk_ord", "w"))
-    return rows.select(
-        index, F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("w.start").cast("long").alias("start"),
-        F.size("w.tokens").cast("long").alias("tokens"), strip(F.array_join("w.tokens", " ")).alias("content"))
+    gives the array of tokens of a text column: blank-separated words unless given, or the pieces of a
+    byte-pair encoding (functions.tokens), which are put together by ``joined`` = ''. The last windows may
+    lie inside the one before."""
+    rows = _windows(docs, tokens(F.col(text)), size, _step(size, overlap), index, joined)
+    return rows.select(index, "chunk_ord", "start", F.col("n").alias("tokens"), strip(F.col("content")).alias("content"))
 
 
 def sentences(c: Column) -> Column:
@@ -62,11 +70,7 @@ def sentence_windows(docs: DataFrame, size: int = 5, overlap: int = 1, index: st
     parts = sentences(F.col(text))
     if split_long:
         parts = F.filter(F.transform(split_long_sentences(parts), strip), lambda x: x != "")
-    rows = docs.select(index, parts.alias("s"))
-    step = max(size - overlap, 1)
-    starts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(index, "s", F.posexplode(starts).alias("chunk_ord", "start"))
-    return rows.select(index, F.col("chunk_ord").cast("long").alias("chunk_ord"), F.array_join(F.slice("s", F.col("start") + 1, F.lit(size)), " ").alias("content"))
+    return _windows(docs, parts, size, max(size - overlap, 1), index).select(index, "chunk_ord", "content")
 
 
 def chunk_ids(chunks: DataFrame, index: str = "doc_id") -> DataFrame:
