@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.scratch import drop, saved
 
 ALPHA, TOLERANCE, MOST_ROUNDS = 0.85, 1e-4, 100
+#: Edges of a graph that one task holds; larger ones are ranked by joins.
+MOST_EDGES = 1 << 22
 #: (name, least, most) of the two sizes of subgraphs.
 SIZES = (("large", 20, 50), ("small", 3, 10))
 
@@ -19,30 +21,45 @@ def adjacency(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     return edges.select(graph, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(graph, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
 
 
-def pagerank_steps(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float = ALPHA, graph: str = "graph_id", every: int = 3) -> DataFrame:
-    """graph, node, score after ``rounds`` steps as joins and sums, for graphs of any size.
-    Lineage is cut by a written table every few steps."""
+def pagerank_steps(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float = ALPHA, graph: str = "graph_id", tolerance: float | None = None, every: int = 3) -> DataFrame:
+    """graph, node, score after ``rounds`` steps as joins and sums, for graphs of any size. With
+    ``tolerance``, a graph stays as it is once its change is under its nodes times the tolerance, and
+    it is an error if one is not done after ``rounds``. Lineage is cut by a written table every few
+    steps, or at every step that is tested."""
     spark = nodes.sparkSession
     own: list[str] = []
+    nodes = nodes.select(graph, "node").distinct()
+    seeds = seeds.select(graph, "node").distinct().join(nodes, [graph, "node"], "left_semi")
     side = adjacency(edges, graph)
     degree = side.groupBy(graph, "u").agg(F.count("*").alias("deg"))
     total = nodes.groupBy(graph).agg(F.count("*").alias("n"))
     seeded = seeds.groupBy(graph).agg(F.count("*").alias("m"))
-    start = nodes.join(total, graph).join(seeded, graph).join(seeds.select(graph, "node", F.lit(1).alias("s")), [graph, "node"], "left").join(
+    start = nodes.join(total, graph).join(seeded, graph).join(seeds.withColumn("s", F.lit(1)), [graph, "node"], "left").join(
         degree.withColumnRenamed("u", "node"), [graph, "node"], "left")
-    start = start.select(graph, "node", (F.coalesce("s", F.lit(0)) / F.col("m")).alias("p"), F.col("deg"), (F.lit(1.0) / F.col("n")).alias("x"))
+    start = start.select(graph, "node", "n", (F.coalesce("s", F.lit(0)) / F.col("m")).alias("p"), F.col("deg"), (F.lit(1.0) / F.col("n")).alias("x"), F.lit(False).alias("done"))
     state = saved(start, "ranks", own)
     side = saved(side, "sides")
     for i in range(rounds):
         out = side.join(state.where("deg IS NOT NULL").select(graph, F.col("node").alias("u"), (F.col("x") / F.col("deg")).alias("share")), [graph, "u"])
         gain = out.groupBy(graph, F.col("v").alias("node")).agg(F.sum("share").alias("gain"))
         lost = state.groupBy(graph).agg(F.sum(F.when(F.col("deg").isNull(), F.col("x")).otherwise(0.0)).alias("lost"))
-        state = state.join(gain, [graph, "node"], "left").join(lost, graph).select(
-            graph, "node", "p", "deg", (F.lit(alpha) * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")).alias("x"))
-        if i % every == every - 1 or i == rounds - 1:
+        new = F.lit(alpha) * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
+        state = state.join(gain, [graph, "node"], "left").join(lost, graph).select(graph, "node", "n", "p", "deg", "x", "done", F.when(F.col("done"), F.col("x")).otherwise(new).alias("y"))
+        if tolerance is None:
+            state = state.select(graph, "node", "n", "p", "deg", F.col("y").alias("x"), "done")
+        else:
             state = saved(state, "ranks", own)
-            if len(own) > 1:
-                drop(spark, own.pop(0))
+            moved = state.groupBy(graph).agg((F.sum(F.abs(F.col("y") - F.col("x"))) < F.max("n") * F.lit(tolerance)).alias("still"))
+            state = state.join(moved, graph).select(graph, "node", "n", "p", "deg", F.col("y").alias("x"), (F.col("done") | F.col("still")).alias("done"))
+        if tolerance is not None or i % every == every - 1 or i == rounds - 1:
+            state = saved(state, "ranks", own)
+            drop(spark, *own[:-1])
+            del own[:-1]
+        if tolerance is not None and state.where("NOT done").isEmpty():
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"no convergence in {rounds} rounds")
     return state.select(graph, "node", F.col("x").alias("score"))
 
 
@@ -62,27 +79,56 @@ def power_iteration(n: int, u: np.ndarray, v: np.ndarray, p: np.ndarray, w: np.n
     raise RuntimeError(f"no convergence in {most} rounds")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, graph: str = "graph_id", alpha: float = ALPHA, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS, weighted: bool = False) -> DataFrame:
-    """graph, node, score to convergence, a graph a group: for graphs that fit a worker (the
-    graphs of single documents do); pagerank_steps() has no such bound. Seeds that are no nodes
-    are left out; graphs without a seed have no rows."""
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, graph: str = "graph_id", alpha: float = ALPHA, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS, weighted: bool = False, item: str | None = None, most_edges: int = MOST_EDGES) -> DataFrame:
+    """graph, node, score to convergence. With ``item``, a column of ``seeds``, each item has ranks
+    of its own from its own seeds, several on one graph, and the item comes along. Seeds that are no
+    nodes are left out; graphs and items without a seed have no rows.
+
+    A graph of up to ``most_edges`` edges is one group, which holds it once however many items it
+    has; those over it take pagerank_steps(), which has no bound (unweighted ones only)."""
+    one = [item] if item else []
+    if not weighted:
+        big = edges.groupBy(graph).agg(F.count("*").alias("e")).where(F.col("e") > most_edges).select(graph)
+        if not big.isEmpty():
+            big = saved(big, "large")
+            part = lambda df, how: df.join(big, graph, how)
+            small = _pagerank_groups(part(nodes, "left_anti"), part(edges, "left_anti"), part(seeds, "left_anti"), graph, alpha, tolerance, most, weighted, item)
+            keyed = part(seeds, "left_semi").select(graph, *one).distinct()
+            of = F.struct(graph, *one).alias("_key")
+            large = pagerank_steps(
+                part(nodes, "left_semi").join(keyed, graph).select(of, "node"), part(edges, "left_semi").join(keyed, graph).select(of, "a", "b"), part(seeds, "left_semi").select(of, "node"), most, alpha, "_key", tolerance)
+            return small.unionByName(large.select("_key.*", "node", "score"))
+    return _pagerank_groups(nodes, edges, seeds, graph, alpha, tolerance, most, weighted, item)
+
+
+def _pagerank_groups(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, graph: str, alpha: float, tolerance: float, most: int, weighted: bool, item: str | None) -> DataFrame:
     kind = dict(nodes.dtypes)
-    schema = f"{graph} {kind[graph]}, node {kind['node']}, score double"
-    marked = nodes.select(graph, "node").distinct().join(seeds.select(graph, "node", F.lit(1.0).alias("seed")).distinct(), [graph, "node"], "left")
+    schema = ", ".join([f"{graph} {kind[graph]}", *([f"{item} {dict(seeds.dtypes)[item]}"] if item else []), f"node {kind['node']}, score double"])
+    started = seeds.groupBy(graph, "node").agg(F.collect_set(item if item else F.lit(0)).alias("seed"))
+    marked = nodes.select(graph, "node").distinct().join(started, [graph, "node"], "left")
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
     sides = edges.select(F.col(graph).alias("side_graph"), F.col("a").alias("u"), F.col("b").alias("v"), weight.alias("w"))
 
     def solve(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        p = n.seed.fillna(0.0).to_numpy()
-        if not len(n) or not p.sum():
-            return n[[graph, "node"]].iloc[:0].assign(score=0.0)
+        by: dict = {}
+        for i, items in enumerate(n.seed):
+            for x in items if items is not None else ():
+                by.setdefault(x, []).append(i)
+        columns = [graph, *([item] if item else []), "node", "score"]
+        if not by:
+            return n[[graph, "node"]].iloc[:0].assign(score=0.0, **({item: None} if item else {}))[columns]
         place = pd.Index(n.node)
         a, b = place.get_indexer(e.u), place.get_indexer(e.v)
         ok = (a >= 0) & (b >= 0)
         a, b, w = a[ok], b[ok], e.w.to_numpy()[ok]
         loop = a == b
         u, v, w = np.concatenate([a, b[~loop]]), np.concatenate([b, a[~loop]]), np.concatenate([w, w[~loop]])
-        return pd.DataFrame({graph: n[graph], "node": n.node, "score": power_iteration(len(n), u, v, p / p.sum(), w, alpha, tolerance, most)})
+        out = []
+        for x in sorted(by):
+            p = np.zeros(len(n))
+            p[by[x]] = 1.0 / len(by[x])
+            out.append(pd.DataFrame({graph: n[graph], "node": n.node, "score": power_iteration(len(n), u, v, p, w, alpha, tolerance, most), **({item: x} if item else {})}))
+        return pd.concat(out)[columns]
 
     return marked.groupBy(graph).cogroup(sides.groupBy("side_graph")).applyInPandas(solve, schema)
 

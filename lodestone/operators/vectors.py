@@ -7,6 +7,9 @@ meets the vectors of its own graph or item, with a top-k before anything is shuf
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,41 +157,67 @@ def retrieve_union(hits: DataFrame, item: str, content: str) -> DataFrame:
     return hits.select(item, content).distinct()
 
 
-def sparse_scores(query_tokens: DataFrame, doc_tokens: DataFrame, query: str, doc: str) -> DataFrame:
-    """Sum over shared tokens of the product of their weights: (query, token, w) with (doc, token, w)."""
-    return query_tokens.withColumnRenamed("w", "wq").join(doc_tokens, "token").groupBy(query, doc).agg(F.sum(F.col("wq") * F.col("w")).alias("sparse"))
+_TOKEN = re.compile(r"[^ \t\n\r\f\x0b]+")
 
 
-def against(vectors: DataFrame, queries: DataFrame, parts: int = 2, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, dense, multi: a stated query set (query_id, q) against all unit vectors
-    (vec_id, u). dense is the dot product; multi is, over the query's ``parts`` sub-vectors, the
-    mean of the best dot product with one of the vector's. Queries go in broadcast blocks."""
+def lexical(text: str | None) -> dict[str, float]:
+    """The words of a text with their counts as a unit vector."""
+    n = Counter(_TOKEN.findall(text or ""))
+    size = math.sqrt(sum(c * c for c in n.values()))
+    return {w: c / size for w, c in n.items()}
+
+
+def hybrid_top(vectors: DataFrame, queries: DataFrame, k: int = 5, weights: tuple[float, float, float] = (1.0, 0.3, 1.0), parts: int = 2, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: each query's k best of all rows by the weighted sum of three
+    scores. Rows of both: id, unit vector and lower-cased text (vec_id, u, text; query_id, q, text).
+    dense is the dot product; sparse the sum over shared words of both weights (lexical()); multi
+    the mean, over the query's ``parts`` sub-vectors, of the best dot product with one of the row's.
+
+    Queries go in broadcast blocks of ``block``; a pass computes the three scores a batch at a time
+    and keeps k rows for each query and batch, so neither words nor pairs are shuffled. Scores are ranked
+    by nine decimals, ties by the smaller vec_id."""
     spark = vectors.sparkSession
-    out, held = None, []
+    schema = "query_id long, vec_id long, score double"
 
     def scan(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=np.float64)))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
+        words: dict[str, tuple[list[int], list[float]]] = {}
+        for j, r in enumerate(rows):
+            for w, x in lexical(r.text).items():
+                at, value = words.setdefault(w, ([], []))
+                at.append(j)
+                value.append(x)
+        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=np.float64), {w: (np.array(a), np.array(x)) for w, (a, x) in words.items()}))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q, words = shared.value
             qs = np.array_split(q, parts, axis=1)
             for pdf in batches:
-                if len(pdf):
-                    u = np.stack(pdf.u.to_numpy()).astype(np.float64)
-                    us = np.array_split(u, parts, axis=1)
-                    dense = u @ q.T
-                    multi = sum(np.max([x @ y.T for x in us], axis=0) for y in qs) / parts
-                    for j, name in enumerate(names):
-                        yield pd.DataFrame({"query_id": name, "vec_id": pdf.vec_id.to_numpy(), "dense": dense[:, j], "multi": multi[:, j]})
-
-        return vectors.select("vec_id", "u").mapInPandas(score, "query_id long, vec_id long, dense double, multi double")
+                if not len(pdf):
+                    continue
+                u = np.stack(pdf.u.to_numpy()).astype(np.float64)
+                us = np.array_split(u, parts, axis=1)
+                score = weights[0] * (u @ q.T) + weights[2] * sum(np.max([x @ y.T for x in us], axis=0) for y in qs) / parts
+                for i, text in enumerate(pdf.text):
+                    for w, x in lexical(text).items():
+                        if w in words:
+                            at, value = words[w]
+                            score[i, at] += weights[1] * x * value
+                key, ids = np.round(score, 9), pdf.vec_id.to_numpy()
+                for j, name in enumerate(names):
+                    low = np.partition(key[:, j], -k)[-k] if len(ids) > k else -np.inf
+                    on = np.flatnonzero(key[:, j] >= low)
+                    on = on[np.lexsort((ids[on], -key[on, j]))[:k]]
+                    yield pd.DataFrame({"query_id": name, "vec_id": ids[on], "score": score[on, j]})
+
+        return vectors.select("vec_id", "u", "text").mapInPandas(best, schema)
 
-    for row in queries.orderBy("query_id").toLocalIterator():
+    out, held = None, []
+    for row in queries.select("query_id", "q", "text").orderBy("query_id").toLocalIterator():
         held.append(row)
         if len(held) == block:
             out = scan(held) if out is None else out.unionByName(scan(held))
             held = []
     if held or out is None:
-        part = scan(held) if held else spark.createDataFrame([], "query_id long, vec_id long, dense double, multi double")
+        part = scan(held) if held else spark.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return ranked(out.withColumn("key", F.round("score", 9)), ["query_id"], "key", "vec_id", k).drop("key")

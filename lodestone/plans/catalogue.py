@@ -427,16 +427,9 @@ def hybrid_retrieval(spark, d):
     """Dense, sparse (token weights of the document with the vector's id) and late-interaction
     (two sub-vectors a side) scores. Queries: every row whose id is divisible by 100."""
     u = table(spark, d, "embeddings").select("vec_id", vectors.normalized(F.col("embedding")).alias("u"))
-    # one vector in a hundred against all: each query block is broadcast, at most 1,024 at a time
-    tok = table(spark, d, "documents").select("doc_id", F.explode(t.words(F.lower("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").cast("double").alias("w"))
-    n = tok.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    tw = tok.join(n, "doc_id").select("doc_id", "token", (F.col("w") / F.col("n")).alias("w"))
-    sparse = vectors.sparse_scores(tw.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "token", "w"), tw.withColumnRenamed("doc_id", "vec_id"), "query_id", "vec_id")
-    q = u.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    pairs = vectors.against(u, q)
-    scored = pairs.join(sparse, ["query_id", "vec_id"], "left").withColumn("score", vectors.hybrid(F.col("dense"), F.coalesce("sparse", F.lit(0.0)), F.col("multi")))
-    out = vectors.ranked(scored.withColumn("key", F.round("score", 9)), ["query_id"], "key", "vec_id", 5)
-    return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    u = u.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower("text").alias("text")), "vec_id", "left")
+    q = u.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"), "text")
+    return vectors.hybrid_top(u, q).withColumn("score", F.round("score", 6))
 
 
 # --- matching ---------------------------------------------------------------------------
