@@ -1,13 +1,15 @@
 """Command line: python -m lodestone COMMAND ... Each command reads and writes tables or JSON lines.
 
-graph       documents (JSON lines with a context) to graphs, with vectors and similarity edges
-community   answers' entities to subgraphs of both sizes
+graph       documents (JSON lines with a context) to graphs, with vectors, similarity edges and usage
+community   items' entities, given or found by a model, to each item's subgraphs of both sizes
 positives   chunks against questions and answers to ranked outputs
-negatives   retrieved chunks to the training rows of a stage
+queries     subgraphs to confusing questions
+matching    chunks that the questions of an item find, without its positives
+negatives   all or matched chunks to the training rows of a stage
 infer       questions to answers and scores
-pairwise    two result folders to win rates, from a column of verdicts
+pairwise    two folders of results to a judge's win rates, or a column of verdicts
 stats       graphs to statistics
-coverage    items' entities against a graph's nodes
+coverage    items' entities against the nodes of their own graphs
 
 Models are named as module:object; the stand-ins serve where none is given.
 """
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.functions.models import HashedWords, OverlapProxy, RuleExtractor, encode, log_prob
+from lodestone.functions import tokens as bpe
+from lodestone.functions.models import CapitalNames, HashedWords, LengthJudge, OverlapProxy, Paraphrases, RuleExtractor
+from lodestone.functions.scratch import saved
 from lodestone.functions.text import unquote_once
-from lodestone.operators import alignment, chunking, evaluation, graph, propagation, stats, training, vectors
-from lodestone.plans import inference
+from lodestone.operators import chunking, evaluation, graph, propagation, stats, training
+from lodestone.plans import inference, mining
 from lodestone.plans.corpus_graph import CorpusGraph
 from lodestone.sources import readers, writers
 
@@ -52,48 +56,77 @@ def run_graph(spark, args) -> None:
     docs = _items(spark, args).where("context IS NOT NULL").select(F.col("doc_index").alias("doc_id"), F.col("context").alias("text"))
     g = CorpusGraph.from_documents(docs, _model(args.llm, RuleExtractor()), c).embed(_model(args.encoder, HashedWords()))
     g.save(f"{args.output}/base")
+    writers.write_usage(g.usage, f"{args.output}/usage")
     writers.write_table(chunking.context_map(docs), f"{args.output}/context_map")
     if not args.skip_augment:
         CorpusGraph.load(spark, f"{args.output}/base").augment(args.threshold, c.augmentation.threshold)[0].save(f"{args.output}/augmented")
 
 
+def _entities(spark, args) -> DataFrame:
+    """doc_index, graph_id (of the item's representative), ent_ord, entity."""
+    if args.entities:
+        found = spark.read.parquet(args.entities).withColumn("ent_ord", F.lit(0))
+    else:
+        items = readers.normalized_items(readers.read_jsonl(spark, args.input))
+        found = mining.named_entities(items.withColumn("text", F.concat_ws(" ", "question", "answer")), _model(args.llm, CapitalNames()))
+        found = saved(found, "entities")
+    return found.join(spark.read.parquet(f"{args.graph}/context_map"), "doc_index").select("doc_index", F.col("rep_index").alias("graph_id"), "ent_ord", "entity")
+
+
 def run_community(spark, args) -> None:
-    """Items' entities: columns doc_index, entity; graphs by the item's representative."""
-    g = CorpusGraph.load(spark, f"{args.graph}/{args.version}")
-    items = spark.read.parquet(args.entities).withColumn("ent_ord", F.lit(0)).join(spark.read.parquet(f"{args.graph}/context_map"), "doc_index")
-    seeds = g.match(items.select(F.col("rep_index").alias("graph_id"), "ent_ord", "entity"))
-    scores = propagation.pagerank(g.nodes.select("graph_id", F.col("entity_name").alias("node")), g.edges, seeds.select("graph_id", F.col("entity_name").alias("node")))
-    best = propagation.two_sizes(scores, ["graph_id"])
+    """Each item has seeds, ranks and subgraphs of its own, within its context's graph."""
+    by = ["doc_index", "graph_id"]
+    version = readers.first_path(spark, f"{args.graph}/{args.version}", f"{args.graph}/base")
+    g = CorpusGraph.load(spark, version, False)
+    seeds = g.match(_entities(spark, args), "doc_index")
+    best = g.attributes(propagation.two_sizes(g.ranks(seeds, _config(args.config), "doc_index"), by))
+    best = saved(best, "best")
     for size in ("large", "small"):
         part = best.where(F.col("size") == size)
         for name in ("full", "subgraph"):
-            nested = propagation.nested_edges(propagation.subgraph_edges(part, g.edges, ["graph_id"], name == "full"), ["graph_id"])
-            writers.write_table(part.join(nested, ["graph_id", "node"], "left"), f"{args.output}/{name}_{size}")
+            nested = propagation.nested_edges(propagation.subgraph_edges(part, g.edges, by, name == "full", ["graph_id"]), by)
+            writers.write_table(part.join(nested, [*by, "node"], "left"), f"{args.output}/{name}_{size}")
+
+
+def _chunks(items: DataFrame, c: config.Config) -> DataFrame:
+    make = {"sentence": chunking.sentence_windows, "token": chunking.token_windows, "word": chunking.word_windows}[c.chunking.method]
+    more = {"tokenizer": c.chunking.tokenizer} if c.chunking.tokenizer and c.chunking.method != "word" else {}
+    return make(items, c.chunking.size, c.chunking.overlap, "doc_index", "context", **more).select("doc_index", "chunk_ord", "content")
 
 
 def run_positives(spark, args) -> None:
     c = _config(args.config)
     items = _items(spark, args)
-    make = chunking.sentence_windows if c.chunking.method == "sentence" else chunking.token_windows
-    chunks = make(items, c.chunking.size, c.chunking.overlap, "doc_index", "context").select("doc_index", "chunk_ord", "content")
-    rows = chunks.join(items.select("doc_index", "question", "answer"), "doc_index")
-    rows = rows.withColumn("with_question", F.concat_ws("\n", "content", "question")).withColumn("with_answer", F.concat_ws("\n", "content", "answer"))
-    model, encoder = _model(args.log_prob, OverlapProxy()), _model(args.encoder, HashedWords())
-    rows = log_prob(log_prob(rows, "with_question", "answer", "forward", model), "with_answer", "question", "backward", model)
-    rows = encode(encode(rows, "question", "q", encoder), "content", "v", encoder)
-    rows = rows.withColumn("parameter", vectors.dot(F.col("q"), F.col("v"))).withColumn("tokens", F.size(chunking.words(F.col("content"))))
-    w = {"forward": c.alignment.forward, "backward": c.alignment.backward, "parameter": c.alignment.parameter}
-    scored = alignment.scores(rows.select("doc_index", "chunk_ord", "content", "tokens", *w), ["doc_index"], weights=w)
-    writers.write_ranked(scored, args.output, ["doc_index"], "chunk_ord", c.alignment.top_k)
+    count = bpe.token_count(c.chunking.tokenizer) if c.chunking.tokenizer else None
+    scored = mining.item_scores(items, _chunks(items, c), _model(args.log_prob, OverlapProxy()), _model(args.encoder, HashedWords()), c, most_tokens=c.alignment.most_tokens or None, tokens=count)
+    writers.write_ranked(saved(scored, "scored"), args.output, ["doc_index"], "chunk_ord", c.alignment.top_k)
+
+
+def run_queries(spark, args) -> None:
+    """subgraphs: the folder of community."""
+    c = _config(args.config).queries
+    part = lambda size: spark.read.parquet(f"{args.subgraphs}/subgraph_{size}").select("doc_index", "size", "node", "rank", "entity_type", "descriptions")
+    made = mining.confusing_queries(_items(spark, args), part("large").unionByName(part("small")), _model(args.llm, Paraphrases()), args.number or c.number)
+    writers.write_table(made, args.output, ["size"])
+
+
+def run_matching(spark, args) -> None:
+    """ranked: the folder of positives; queries: that of queries."""
+    c = _config(args.config)
+    found = mining.matched_chunks(
+        spark.read.parquet(args.queries), spark.read.parquet(f"{args.ranked}/full"), spark.read.parquet(f"{args.ranked}/top"), _model(args.encoder, HashedWords()), args.top_k or c.queries.top_k)
+    writers.write_table(found, args.output, ["size"])
 
 
 def run_negatives(spark, args) -> None:
-    """ranked: the folder of positives; matched: chunks found for an item (doc_index, content)."""
+    """ranked: the folder of positives; matched: that of matching, for stages 2 and 3."""
     c = _config(args.config).training
     ranked = spark.read.parquet(f"{args.ranked}/full")
-    matched = spark.read.parquet(args.matched).withColumn("chunk_ord", F.xxhash64("content")) if args.matched else ranked
+    if args.stage > 1 and not args.matched:
+        raise SystemExit("stages 2 and 3 need --matched")
+    matched = {s: spark.read.parquet(args.matched).where(F.col("size") == s) if args.matched else ranked for s in ("large", "small")}
     positives = training.top_positives(ranked, "doc_index", "chunk_ord", c.positives)
-    rows = training.stage(args.stage, _items(spark, args).select("doc_index", F.col("question").alias("query")), positives, ranked, matched, matched, "doc_index", c.negatives, c.seed, "chunk_ord")
+    rows = training.stage(args.stage, _items(spark, args).select("doc_index", F.col("question").alias("query")), positives, ranked, matched["large"], matched["small"], "doc_index", c.negatives, c.seed, "chunk_ord")
     writers.write_jsonl(rows.select("messages", "positive_messages", "negative_messages"), args.output)
 
 
@@ -107,8 +140,24 @@ def run_infer(spark, args) -> None:
 
 
 def run_pairwise(spark, args) -> None:
-    won = evaluation.winners(spark.read.json(args.input), args.verdict)
-    writers.write_jsonl(evaluation.pairwise_summary(won.withColumn("all", F.lit("all")), ["all"]), args.output)
+    """Two results of infer, judged by a model; or with --input, rows that have a verdict."""
+    if args.input:
+        won = evaluation.winners(spark.read.json(args.input), args.verdict)
+    else:
+        fields = "question string, answer string, truth string, prediction string"
+
+        def read(path: str) -> DataFrame:
+            """Results by their items; files without them by the places of their lines."""
+            rows = spark.read.schema(f"doc_index long, {fields}").json(path)
+            rows = readers.read_jsonl(spark, path, fields) if rows.where("doc_index IS NOT NULL").isEmpty() else rows
+            return rows.withColumn("answer", F.coalesce("answer", "truth"))
+
+        found = saved(mining.judged(read(args.model1), read(args.model2), _model(args.llm, LengthJudge())), "judged")
+        writers.write_jsonl(found, f"{args.output}/details")
+        won = evaluation.winners(found, "winner")
+    name = lambda p: (p or "").rstrip("/").rpartition("/")[2]
+    summary = evaluation.pairwise_summary(won.select(F.lit(name(args.model1)).alias("model1"), F.lit(name(args.model2)).alias("model2"), "winner"), ["model1", "model2"])
+    writers.write_jsonl(summary, args.output if args.input else f"{args.output}/summary")
 
 
 def run_stats(spark, args) -> None:
@@ -119,13 +168,14 @@ def run_stats(spark, args) -> None:
     whole = per.join(stats.degree_stats(degree), "graph_id").join(stats.component_stats(labels), "graph_id").join(stats.power_law(degree), "graph_id")
     whole = whole.join(stats.paths(nodes, g.edges), "graph_id", "left")
     writers.write_table(whole, f"{args.output}/graphs")
-    writers.write_table(stats.aggregate(per), f"{args.output}/all")
+    writers.write_table(stats.aggregate(whole), f"{args.output}/all")
 
 
 def run_coverage(spark, args) -> None:
-    items = spark.read.parquet(args.entities)
-    nodes = CorpusGraph.load(spark, args.graph, False).nodes
-    per = stats.coverage(items.select("doc_index", F.upper(F.btrim("entity")).alias("entity")), nodes.select(unquote_once(F.col("entity_name")).alias("entity_name")), "doc_index")
+    """An item's entities meet the nodes of its own graph."""
+    nodes = CorpusGraph.load(spark, readers.first_path(spark, f"{args.graph}/{args.version}", f"{args.graph}/base"), False).nodes
+    items = _entities(spark, args).select("doc_index", "graph_id", F.upper(F.btrim("entity")).alias("entity"))
+    per = stats.coverage(items, nodes.select("graph_id", unquote_once(F.col("entity_name")).alias("entity_name")), "doc_index", graph="graph_id")
     writers.write_table(per, f"{args.output}/items")
     writers.write_table(stats.coverage_summary(per), f"{args.output}/all")
 
@@ -150,15 +200,17 @@ def parser() -> argparse.ArgumentParser:
     g = add("graph", run_graph, "input", "llm?", "encoder?")
     g.add_argument("--threshold", type=float)
     g.add_argument("--skip-augment", action="store_true")
-    add("community", run_community, "graph", "entities").add_argument("--version", default="augmented")
+    add("community", run_community, "graph", "entities?", "input?", "llm?").add_argument("--version", default="augmented")
     add("positives", run_positives, "input", "encoder?", "log_prob?")
+    add("queries", run_queries, "input", "subgraphs", "llm?").add_argument("--number", type=int)
+    add("matching", run_matching, "ranked", "queries", "encoder?").add_argument("--top_k", type=int)
     add("negatives", run_negatives, "input", "ranked", "matched?").add_argument("--stage", type=int, choices=(1, 2, 3), default=1)
     i = add("infer", run_infer, "input", "llm?", "encoder?")
     i.add_argument("--retriever", choices=("dense", "hybrid", "none"), default="dense")
     i.add_argument("--dataset", default="data")
-    add("pairwise", run_pairwise, "input").add_argument("--verdict", default="verdict")
+    add("pairwise", run_pairwise, "input?", "model1?", "model2?", "llm?").add_argument("--verdict", default="verdict")
     add("stats", run_stats, "graph")
-    add("coverage", run_coverage, "graph", "entities")
+    add("coverage", run_coverage, "graph", "entities?", "input?", "llm?").add_argument("--version", default="augmented")
     return p
 
 

@@ -10,6 +10,8 @@ class Chunking:
     method: str = "token"
     size: int = 512
     overlap: int = 12
+    #: A tokenizer file for token windows and counts; blank-separated words without one.
+    tokenizer: str = ""
 
 
 @dataclass
@@ -35,6 +37,14 @@ class Alignment:
     parameter: float = 1.0
     short_tokens: int = 10
     top_k: int = 10
+    #: Tokens of a prompt and its target; 0 for no limit.
+    most_tokens: int = 0
+
+
+@dataclass
+class Queries:
+    number: int = 5
+    top_k: int = 10
 
 
 @dataclass
@@ -57,6 +67,7 @@ class Config:
     augmentation: Augmentation = field(default_factory=Augmentation)
     pagerank: PageRank = field(default_factory=PageRank)
     alignment: Alignment = field(default_factory=Alignment)
+    queries: Queries = field(default_factory=Queries)
     training: Training = field(default_factory=Training)
     retrieval: Retrieval = field(default_factory=Retrieval)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import tokens
+
 
 def _lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence: bit-parallel, a word operation for each of b."""
@@ -53,37 +56,56 @@ def clean_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else control.sub("", html.unescape(t.strip())))
 
 
-def split_long(text: str, most: int = 256, least: int = 30) -> list[str]:
-    """Pieces of at most ``most`` words, cut at dashed rules and empty lines, which stay with the
-    piece before them. A last piece of under ``least`` words goes back if it fits; a piece
-    without a place to cut stays whole."""
-    if len(text.split()) <= most:
-        return [text]
-    cuts = [m.end() for m in re.finditer(r"\n\s*-{10,}\s*\n|\n\n+", text)]
-    pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)]) if b > a]
-    done: list[tuple[str, int]] = []
+def by_words(text: str) -> int:
+    return len(text.split())
+
+
+#: A dashed rule on a line of its own, or empty lines: a long sentence may be cut behind one.
+_CUT = re.compile(r"\n\s*-{10,}\s*\n|\n\n+")
 
-    def put(piece: str, n: int) -> None:
-        if done and n < least and len(done[-1][0].split()) + n <= most:
-            done[-1] = (done[-1][0] + piece, done[-1][1] + n)
+
+def split_long(text: str, most: int = 256, least: int = 30, count=by_words) -> list[str]:
+    """A text of more than ``most`` tokens in pieces: each ends at the last place to cut before
+    which it has no more than ``most``, or at the next one if a stretch alone has more. A piece
+    of under ``least`` tokens joins the one before it if both have no more than ``most`` together."""
+    if count(text) <= most:
+        return [text]
+    ends = sorted({*(m.end() for m in _CUT.finditer(text)), len(text)} - {0})
+    total = np.cumsum([count(text[a:b]) for a, b in zip([0, *ends], ends)])
+    at, start, pieces = 0, 0, []
+    while at < len(ends):
+        before = total[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
+        piece = text[start : ends[at - 1]]
+        start = ends[at - 1]
+        if pieces and count(piece) < least and count(pieces[-1] + piece) <= most:
+            pieces[-1] += piece
         else:
-            done.append((piece, n))
-
-    held, size = "", 0
-    for piece in pieces:
-        n = len(piece.split())
-        if held and size + n > most:
-            put(held, size)
-            held, size = "", 0
-        held, size = held + piece, size + n
-    if held:
-        put(held, size)
-    return [p for p, _ in done]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_long_sentences(sentences: pd.Series) -> pd.Series:
-    return sentences.map(lambda xs: [] if xs is None else [p for x in xs for p in split_long(x)])
+            pieces.append(piece)
+    return pieces
+
+
+def split_long_sentences(path: str | None = None, most: int = 256, least: int = 30):
+    """split_long() of each sentence in an array, by the tokens of a tokenizer file or by words."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(sentences: pd.Series) -> pd.Series:
+        count = tokens.counter(path) if path else by_words
+        return sentences.map(lambda xs: [] if xs is None else [p for x in xs for p in split_long(x, most, least, count)])
+
+    return split
+
+
+@F.pandas_udf(T.StringType())
+def unescape_html(text: pd.Series) -> pd.Series:
+    """All HTML character references decoded."""
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+@F.pandas_udf(T.StringType())
+def vector_id(vector: pd.Series) -> pd.Series:
+    """The MD5 of a vector's bytes, as floats of 32 bits: the identity of one that has none."""
+    return vector.map(lambda v: None if v is None else hashlib.md5(np.asarray(v, dtype=np.float32).tobytes()).hexdigest())
 
 
 def unit_rows(rows) -> np.ndarray:

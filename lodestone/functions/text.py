@@ -144,6 +144,13 @@ def message_tokens(values: Column) -> Column:
     return (F.aggregate(F.transform(values, lambda v: token_count(v) + 4), F.lit(0).cast("long"), lambda a, x: a + x) + 2).cast("long")
 
 
+def entity_view(name: Column, kind: Column, description: Column) -> Column:
+    """An entity as prompts show it: no quotes around name and type, the description in a list."""
+    bare = lambda c: F.btrim(c, F.lit('"'))
+    return F.struct(
+        bare(F.coalesce(name, F.lit(""))).alias("name"), bare(F.coalesce(kind, F.lit("Unknown"))).alias("type"), F.array(F.coalesce(description, F.lit(""))).alias("descriptions"))
+
+
 def fill(template: Column, **values: Column) -> Column:
     """A template's ``{name}`` places filled."""
     for name, value in values.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import tokens as bpe
 from lodestone.functions.arrow import split_long_sentences
 from lodestone.functions.text import hash_id, strip, words
 
@@ -28,7 +29,7 @@ def documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(strip(F.col(text)).alias("content")).select(hash_id(F.col("content"), "doc-").alias("doc_key"), "content").dropDuplicates(["doc_key"])
 
 
-def _windows(docs: DataFrame, tokens: Column, size: int, step: int, index: str, joined: str = " ") -> DataFrame:
+def _windows(docs: DataFrame, tokens: Column, size: int, step: int, index: str) -> DataFrame:
     """index, chunk_ord, start, n, content of the windows of each document. The tokens are a column
     of their own below the generator of the starts, so they are made once a document."""
     rows = docs.select(index, tokens.alias("_tokens"))
@@ -36,7 +37,7 @@ def _windows(docs: DataFrame, tokens: Column, size: int, step: int, index: str,
     rows = rows.select(index, "_tokens", F.posexplode(starts).alias("chunk_ord", "start"))
     return rows.select(
         index, F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("start").cast("long").alias("start"), F.least(F.lit(size), F.size("_tokens") - F.col("start")).cast("long").alias("n"),
-        F.array_join(F.slice("_tokens", F.col("start") + 1, F.lit(size)), joined).alias("content"))
+        F.array_join(F.slice("_tokens", F.col("start") + 1, F.lit(size)), " ").alias("content"))
 
 
 def _step(size: int, overlap: int) -> int:
@@ -51,12 +52,14 @@ def word_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str
     return rows.select(index, "chunk_ord", F.col("n").alias("n_words"), strip(F.col("content")).alias("content")).where("content <> ''")
 
 
-def token_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str = "doc_id", text: str = "text", tokens=words, joined: str = " ") -> DataFrame:
-    """index, chunk_ord, start, tokens, content over the tokens of each document. ``tokens``
-    gives the array of tokens of a text column: blank-separated words unless given, or the pieces of a
-    byte-pair encoding (functions.tokens), which are put together by ``joined`` = ''. The last windows may
-    lie inside the one before."""
-    rows = _windows(docs, tokens(F.col(text)), size, _step(size, overlap), index, joined)
+def token_windows(docs: DataFrame, size: int = 512, overlap: int = 12, index: str = "doc_id", text: str = "text", tokens=words, tokenizer: str | None = None) -> DataFrame:
+    """index, chunk_ord, start, tokens, content over the tokens of each document: those of a
+    ``tokenizer`` file, whose windows are decoded, or what ``tokens`` makes of the text column
+    (blank-separated words unless given). The last windows may lie inside the one before."""
+    if tokenizer:
+        rows = docs.select(index, F.posexplode(bpe.windows(tokenizer, size, overlap)(F.col(text))).alias("chunk_ord", "w"))
+        return rows.select(index, F.col("chunk_ord").cast("long").alias("chunk_ord"), "w.start", "w.tokens", "w.content")
+    rows = _windows(docs, tokens(F.col(text)), size, _step(size, overlap), index)
     return rows.select(index, "chunk_ord", "start", F.col("n").alias("tokens"), strip(F.col("content")).alias("content"))
 
 
@@ -65,11 +68,12 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])[ \t\n\r]+", -1), strip), lambda x: x != "")
 
 
-def sentence_windows(docs: DataFrame, size: int = 5, overlap: int = 1, index: str = "doc_id", text: str = "text", split_long: bool = False) -> DataFrame:
-    """index, chunk_ord, content: windows of sentences, joined by one space."""
+def sentence_windows(docs: DataFrame, size: int = 5, overlap: int = 1, index: str = "doc_id", text: str = "text", split_long: bool = False, tokenizer: str | None = None) -> DataFrame:
+    """index, chunk_ord, content: windows of sentences, joined by one space. split_long: sentences of
+    more than 256 tokens (of the tokenizer file, or words) are cut first."""
     parts = sentences(F.col(text))
     if split_long:
-        parts = F.filter(F.transform(split_long_sentences(parts), strip), lambda x: x != "")
+        parts = F.filter(F.transform(split_long_sentences(tokenizer)(parts), strip), lambda x: x != "")
     return _windows(docs, parts, size, max(size - overlap, 1), index).select(index, "chunk_ord", "content")
 
 
@@ -80,14 +84,15 @@ def chunk_ids(chunks: DataFrame, index: str = "doc_id") -> DataFrame:
     return rows.select("chunk_id", "content", F.col("at")[index].alias(index), F.col("at.chunk_ord").alias("chunk_ord"))
 
 
-def sweep(docs: DataFrame, configs: list[tuple[str, int, int]], index: str = "doc_id") -> DataFrame:
+def sweep(docs: DataFrame, configs: list[tuple[str, int, int]], index: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """Chunks under several (method, size, overlap): one pass over the documents for each."""
     make = {"sentence": sentence_windows, "token": token_windows, "word": word_windows}
     out = None
     for method, size, overlap in configs:
         if method not in make:
             raise ValueError(f"no chunk method {method}")
-        part = make[method](docs, size, overlap, index).select(
+        more = {"tokenizer": tokenizer} if tokenizer and method != "word" else {}
+        part = make[method](docs, size, overlap, index, **more).select(
             F.lit(f"{method}_{size}_{overlap}").alias("config"), index, "chunk_ord", "content")
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.functions.arrow import code_similarity, rouge_l
+from lodestone.functions.scratch import saved
 
 #: The benchmark datasets with their metric, token limit and category.
 DATASETS = {
@@ -92,6 +93,22 @@ def running_mean(rows: DataFrame, value: str, order: str, by: list[str], every:
     return out.where(F.col("position") % every == 0).select(*by, order, "position", "running")
 
 
+def running_mean_of_all(rows: DataFrame, value: str, order: str, every: int = 10, ranges: int = 64) -> DataFrame:
+    """order, position, running: the sum so far over the position, at every so many rows and at the last, in
+    one order over all rows. Rows are dealt to ranges of the order, each summed by a task of its own; what
+    came before a range is a sum of at most ``ranges`` rows. ``order`` has no repeats."""
+    dealt = saved(rows.select(order, value).repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    each = dealt.groupBy("_range").agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("s"))
+    w = Window.orderBy("_range")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    base = each.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    here = Window.partitionBy("_range").orderBy(order)
+    out = dealt.join(F.broadcast(base), "_range")  # a row for each range
+    out = out.withColumn("position", (F.col("n0") + F.row_number().over(here)).cast("long"))
+    out = out.withColumn("running", F.round((F.col("s0") + F.coalesce(F.sum(value).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))) / F.col("position"), 6))
+    return out.where((F.col("position") % every == 0) | (F.col("position") == F.col("total"))).select(order, "position", "running")
+
+
 def winners(judged: DataFrame, answer: str = "verdict") -> DataFrame:
     """winner: 1 if the verdict names Answer 1, else 2 if it names Answer 2, else 0 (a tie)."""
     v = F.col(answer)

@@ -5,10 +5,14 @@ All graphs are processed in the same job, keyed by ``graph_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrow import unescape_html
 from lodestone.functions.scratch import drop, saved
+from lodestone.functions.text import strip, upper
 
 UNKNOWN = '"UNKNOWN"'
 
@@ -35,6 +39,12 @@ def merge_edges(relations: DataFrame, graph: str = "graph_id") -> DataFrame:
         F.array_sort(F.collect_set("description")).alias("descriptions"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
 
 
+def summarised(rows: DataFrame, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with their descriptions put through ``summarise``, a function of the array column (a
+    model's, say); as they are without one."""
+    return rows if summarise is None else rows.withColumn("descriptions", summarise(F.col("descriptions")))
+
+
 def endpoints(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     return edges.select(graph, "a", "b", "descriptions", "source_ids", F.explode(F.array("a", "b")).alias("entity_name"))
 
@@ -110,3 +120,17 @@ def largest_component(nodes: DataFrame, edges: DataFrame, graph: str = "graph_id
     best = sizes.groupBy(graph).agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("x")).select(graph, F.col("x.component").alias("component"))
     kept = labels.join(best, [graph, "component"], "left_semi").select(graph, "entity_name")
     return kept, edges.join(kept.withColumnRenamed("entity_name", "a"), [graph, "a"], "left_semi")
+
+
+def stable_largest(nodes: DataFrame, edges: DataFrame, graph: str = "graph_id") -> tuple[DataFrame, DataFrame]:
+    """The largest component of each graph with names in upper case, stripped, their character
+    references decoded; ends of edges in order. Nodes that get one name become one, the first of
+    them. Sorted by graph and name, edges by "a -> b"."""
+    kept, among = largest_component(nodes, edges, graph)
+    clean = lambda c: unescape_html(strip(upper(F.col(c))))
+    n = kept.select(graph, F.col("entity_name").alias("was"), clean("entity_name").alias("entity_name")).groupBy(graph, "entity_name").agg(F.min("was").alias("was"))
+    e = among.withColumn("x", clean("a")).withColumn("y", clean("b")).withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).drop("x", "y")
+    rest = [c for c in e.columns if c not in (graph, "a", "b")]
+    first = F.min(F.struct(*rest)).alias("r") if rest else F.count("*").alias("r")
+    e = e.groupBy(graph, "a", "b").agg(first).select(graph, "a", "b", *([F.col("r")[c].alias(c) for c in rest]))
+    return n.orderBy(graph, "entity_name"), e.orderBy(graph, F.concat_ws(" -> ", "a", "b"))

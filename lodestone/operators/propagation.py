@@ -160,12 +160,14 @@ def two_sizes(scores: DataFrame, by: list[str], sizes=SIZES) -> DataFrame:
     return out
 
 
-def subgraph_edges(selected: DataFrame, edges: DataFrame, by: list[str], full: bool) -> DataFrame:
+def subgraph_edges(selected: DataFrame, edges: DataFrame, by: list[str], full: bool, graph: list[str] | None = None) -> DataFrame:
     """by, node, target, weight: edges at a selected node; all of them, or those whose other end
-    is selected too."""
-    sides = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("target"), "weight").unionByName(
-        edges.where("a <> b").select(*by, F.col("b").alias("node"), F.col("a").alias("target"), "weight"))
-    out = sides.join(selected.select(*by, "node"), [*by, "node"], "left_semi")
+    is selected too. ``graph``: the columns of ``by`` that edges have too, if not all: several items
+    may have selected from one graph."""
+    g = graph or by
+    sides = edges.select(*g, F.col("a").alias("node"), F.col("b").alias("target"), "weight").unionByName(
+        edges.where("a <> b").select(*g, F.col("b").alias("node"), F.col("a").alias("target"), "weight"))
+    out = sides.join(selected.select(*by, "node").distinct(), [*g, "node"]).select(*by, "node", "target", "weight")
     return out if full else out.join(selected.select(*by, F.col("node").alias("target")), [*by, "target"], "left_semi").select(*out.columns)
 
 

@@ -10,6 +10,8 @@ from lodestone.operators.graph import component_labels, degrees
 from lodestone.operators.propagation import adjacency
 
 PATHS_UP_TO = 5000
+#: The share of variance that a straight line explains, over which degrees follow a power law.
+FITS = 0.8
 
 
 def degree_stats(degree: DataFrame, graph: str = "graph_id") -> DataFrame:
@@ -80,12 +82,16 @@ def paths(nodes: DataFrame, edges: DataFrame, graph: str = "graph_id", most_node
 
 
 def aggregate(per_graph: DataFrame) -> DataFrame:
-    """One row over all graphs: totals, and means of what each graph has."""
+    """One row over all graphs: totals, and means of what each graph has; where they have a power-law fit
+    (fitted, r2), how many were tested and how many follow one (r2 over ``FITS``)."""
+    tallies = []
+    if {"fitted", "r2"} <= set(per_graph.columns):
+        tallies = [F.count_if(F.col("fitted") & (F.col("r2") > FITS)).alias("power_law_count"), F.count_if("fitted").alias("power_law_total_tested")]
     return per_graph.agg(
         F.count("*").alias("graphs"), F.sum("nodes").cast("long").alias("total_nodes"), F.sum("edges").cast("long").alias("total_edges"),
         F.round(F.avg("nodes"), 2).alias("avg_nodes"), F.round(F.avg("edges"), 2).alias("avg_edges"),
         F.round(F.avg("density"), 6).alias("avg_density"), F.round(F.avg("avg_clustering"), 6).alias("avg_clustering"),
-        F.round(F.avg(F.when(F.col("nodes") > 0, 2.0 * F.col("edges") / F.col("nodes"))), 4).alias("avg_degree_mean"))
+        F.round(F.avg(F.when(F.col("nodes") > 0, 2.0 * F.col("edges") / F.col("nodes"))), 4).alias("avg_degree_mean"), *tallies)
 
 
 def file_range(files: DataFrame, start: int, end: int, path: str = "path") -> DataFrame:
@@ -95,10 +101,12 @@ def file_range(files: DataFrame, start: int, end: int, path: str = "path") -> Da
     return out.where(F.col("file_index").between(start, end - 1))
 
 
-def coverage(items: DataFrame, nodes: DataFrame, item: str = "item_id", entity: str = "entity", node: str = "entity_name") -> DataFrame:
-    """num_entities (repeats counted), num_matched, coverage and has_match for each item."""
-    known = nodes.select(F.col(node).alias(entity)).distinct().withColumn("hit", F.lit(1))
-    rows = items.join(known, entity, "left").groupBy(item).agg(F.count(entity).alias("num_entities"), F.coalesce(F.sum("hit"), F.lit(0)).alias("num_matched"))
+def coverage(items: DataFrame, nodes: DataFrame, item: str = "item_id", entity: str = "entity", node: str = "entity_name", graph: str | None = None) -> DataFrame:
+    """num_entities (repeats counted), num_matched, coverage and has_match for each item. With ``graph``,
+    a column of both, an item meets the nodes of its own graph only."""
+    g = [graph] if graph else []
+    known = nodes.select(*g, F.col(node).alias(entity)).distinct().withColumn("hit", F.lit(1))
+    rows = items.join(known, [*g, entity], "left").groupBy(item).agg(F.count(entity).alias("num_entities"), F.coalesce(F.sum("hit"), F.lit(0)).alias("num_matched"))
     share = F.when(F.col("num_entities") > 0, F.col("num_matched") / F.col("num_entities")).otherwise(0.0)
     return rows.withColumn("coverage", F.round(share, 6)).withColumn("has_match", F.col("num_matched") > 0)
 

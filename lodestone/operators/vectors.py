@@ -7,9 +7,6 @@ meets the vectors of its own graph or item, with a top-k before anything is shuf
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrow import unit_rows
+from lodestone.functions.models import lexical
 
 BLOCK = 1024
 
@@ -157,16 +155,6 @@ def retrieve_union(hits: DataFrame, item: str, content: str) -> DataFrame:
     return hits.select(item, content).distinct()
 
 
-_TOKEN = re.compile(r"[^ \t\n\r\f\x0b]+")
-
-
-def lexical(text: str | None) -> dict[str, float]:
-    """The words of a text with their counts as a unit vector."""
-    n = Counter(_TOKEN.findall(text or ""))
-    size = math.sqrt(sum(c * c for c in n.values()))
-    return {w: c / size for w, c in n.items()}
-
-
 def hybrid_top(vectors: DataFrame, queries: DataFrame, k: int = 5, weights: tuple[float, float, float] = (1.0, 0.3, 1.0), parts: int = 2, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k best of all rows by the weighted sum of three
     scores. Rows of both: id, unit vector and lower-cased text (vec_id, u, text; query_id, q, text).

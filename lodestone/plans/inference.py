@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.functions.models import LLM, Encoder, complete, encode
+from lodestone.functions.models import LLM, Encoder, complete, encode, hybrid_scores
 from lodestone.operators import vectors
 
 PROMPT = "Answer from the passages.\n{context}\nQuestion: {input}\nAnswer:"
@@ -15,20 +15,19 @@ PROMPT = "Answer from the passages.\n{context}\nQuestion: {input}\nAnswer:"
 def retrieve(questions: DataFrame, chunks: DataFrame, kind: str, encoder: Encoder | None = None, k: int = 5, item: str = "doc_index", weights=(1.0, 0.3, 1.0)) -> DataFrame:
     """item, chunk_ord, content, score, rank of each item's best chunks among its own.
 
-    kind: ``dense`` (cosine), ``hybrid`` (cosine, shared words, best sentence) or ``none`` (every
-    chunk with score 1)."""
+    kind: ``dense`` (cosine), ``hybrid`` (cosine, token weights and token vectors, by a MultiEncoder) or
+    ``none`` (every chunk with score 1)."""
     if kind == "none":
         return vectors.ranked(chunks.join(questions.select(item), item, "left_semi").withColumn("score", F.lit(1.0)), [item], "score", "chunk_ord")
     if kind not in ("dense", "hybrid"):
         raise ValueError(f"unknown retriever {kind}")
+    if kind == "hybrid":
+        pairs = chunks.select(item, "chunk_ord", "content").join(questions.select(item, "question"), item)
+        scored = hybrid_scores(pairs, "question", "content", "score", encoder, weights)
+        return vectors.ranked(scored.select(item, "chunk_ord", "content", "score"), [item], "score", "chunk_ord", k)
     q = encode(questions.select(item, "question"), "question", "q", encoder)
     c = encode(chunks.select(item, "chunk_ord", "content"), "content", "v", encoder)
-    pairs = c.join(q, item).withColumn("dense", vectors.dot(F.col("q"), F.col("v")))
-    if kind == "dense":
-        scored = pairs.withColumn("score", F.col("dense"))
-    else:
-        shared = F.size(F.array_intersect(t.words(F.lower("question")), t.words(F.lower("content")))) / F.greatest(F.size(t.words(F.lower("question"))), F.lit(1))
-        scored = pairs.withColumn("score", vectors.hybrid(F.col("dense"), shared, F.col("dense"), weights))
+    scored = c.join(q, item).withColumn("score", vectors.dot(F.col("q"), F.col("v")))
     return vectors.ranked(scored.select(item, "chunk_ord", "content", "score"), [item], "score", "chunk_ord", k)
 
 

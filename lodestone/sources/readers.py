@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -97,7 +98,8 @@ def read_json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_vector_store(spark: SparkSession, path: str) -> DataFrame:
-    """id, entity_name, embedding of stores with JSON rows and a base64 float32 matrix."""
+    """id, entity_name, embedding of stores with JSON rows and a base64 float32 matrix. A row without
+    an id has the MD5 of its vector's bytes."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,7 +109,7 @@ def read_vector_store(spark: SparkSession, path: str) -> DataFrame:
                 matrix = np.frombuffer(base64.b64decode(store["matrix"]), dtype=np.float32).reshape(-1, int(store["embedding_dim"]))
                 if len(matrix) != len(rows):
                     raise ValueError(f"{len(rows)} rows and {len(matrix)} vectors")
-                yield pd.DataFrame({"id": [r["__id__"] for r in rows], "entity_name": [r.get("entity_name") for r in rows], "embedding": [v.tolist() for v in matrix]})
+                yield pd.DataFrame({"id": [r.get("__id__") or hashlib.md5(v.tobytes()).hexdigest() for r, v in zip(rows, matrix)], "entity_name": [r.get("entity_name") for r in rows], "embedding": [v.tolist() for v in matrix]})
 
     return spark.read.text(path, wholetext=True).mapInPandas(decode, "id string, entity_name string, embedding array<float>")
 
@@ -146,3 +148,25 @@ def read_alignment(spark: SparkSession, path: str, limit: int | None = None) ->
     rows = rows.select("doc_index", "scores", F.posexplode("chunks").alias("chunk_ord", "c"))
     content = F.coalesce(F.expr("try_variant_get(c, '$.content', 'string')"), F.expr("try_variant_get(c, '$', 'string')"))
     return rows.select("doc_index", F.col("chunk_ord").cast("long").alias("chunk_ord"), content.alias("content"), F.get("scores", F.col("chunk_ord")).alias("score"))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """doc_index (the number that ends a file's name), v (its JSON); files that don't parse are skipped."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    return rows.select(F.regexp_extract("file", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_index"), "v")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """doc_index, chunk_ord, content of chunk files: objects with a chunk_list of texts."""
+    rows = _numbered(spark, path).select("doc_index", F.posexplode(F.expr("try_variant_get(v, '$.chunk_list', 'array<string>')")).alias("chunk_ord", "content"))
+    return rows.withColumn("chunk_ord", F.col("chunk_ord").cast("long"))
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """doc_index, query_ord, query of query files: arrays of texts."""
+    return _numbered(spark, path).select("doc_index", F.posexplode(F.expr("try_variant_get(v, '$', 'array<string>')")).alias("query_ord", "query"))
+
+
+def read_matched(spark: SparkSession, path: str) -> DataFrame:
+    """doc_index, chunk_ord, content of files of matched chunks: arrays of texts."""
+    return read_queries(spark, path).withColumnsRenamed({"query_ord": "chunk_ord", "query": "content"})

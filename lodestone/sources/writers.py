@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import alignment
+from lodestone.operators import alignment, stats
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -71,3 +77,28 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A file for each graph, in a folder of its own; a graph is one task's, as the format wants."""
     rows = graphml(nodes, edges).repartition("graph_id").sortWithinPartitions("graph_id", "part", "name")
     rows.select("graph_id", F.col("line").alias("value")).write.partitionBy("graph_id").text(path)
+
+
+def write_vector_store(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:
+    """A store of JSON rows and a base64 float32 matrix, as read_vector_store() reads it: one file by one
+    task, as the format wants; for tables that a worker holds. Rows are in order of their key."""
+    other = [c for c in vectors.columns if c not in (key, vector)]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        rows = pd.concat(parts)
+        matrix = np.stack([np.asarray(v, dtype=np.float32) for v in rows[vector]])
+        data = [{"__id__": r[key], **{c: r[c] for c in other}} for r in rows.drop(columns=vector).to_dict("records")]
+        yield pd.DataFrame({"value": [json.dumps({"embedding_dim": matrix.shape[1], "data": data, "matrix": base64.b64encode(matrix.tobytes()).decode()}, ensure_ascii=False)]})
+
+    vectors.coalesce(1).sortWithinPartitions(key).mapInPandas(pack, "value string").write.text(path)
+
+
+def write_usage(usage: DataFrame, path: str, document: str = "graph_id") -> bool:
+    """Calls and tokens of each document and operation, with totals, as a table; nothing without a call."""
+    if usage.isEmpty():
+        return False
+    write_table(stats.usage(usage, document), path)
+    return True
