@@ -94,7 +94,7 @@ def running_mean(rows: DataFrame, value: str, order: str, by: list[str], every:
 
 
 def running_mean_of_all(rows: DataFrame, value: str, order: str, every: int = 10, ranges: int = 64) -> DataFrame:
-    """order, position, running: the sum so far over the position, at every so many rows and at the last, in
+    """order, position, running (four decimals): the sum so far over the position, at every so many rows and at the last, in
     one order over all rows. Rows are dealt to ranges of the order, each summed by a task of its own; what
     came before a range is a sum of at most ``ranges`` rows. ``order`` has no repeats."""
     dealt = saved(rows.select(order, value).repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
@@ -105,7 +105,7 @@ def running_mean_of_all(rows: DataFrame, value: str, order: str, every: int = 10
     here = Window.partitionBy("_range").orderBy(order)
     out = dealt.join(F.broadcast(base), "_range")  # a row for each range
     out = out.withColumn("position", (F.col("n0") + F.row_number().over(here)).cast("long"))
-    out = out.withColumn("running", F.round((F.col("s0") + F.coalesce(F.sum(value).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))) / F.col("position"), 6))
+    out = out.withColumn("running", F.round((F.col("s0") + F.coalesce(F.sum(value).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))) / F.col("position"), 4))
     return out.where((F.col("position") % every == 0) | (F.col("position") == F.col("total"))).select(order, "position", "running")
 
 

@@ -10,8 +10,6 @@ from lodestone.operators.graph import component_labels, degrees
 from lodestone.operators.propagation import adjacency
 
 PATHS_UP_TO = 5000
-#: The share of variance that a straight line explains, over which degrees follow a power law.
-FITS = 0.8
 
 
 def degree_stats(degree: DataFrame, graph: str = "graph_id") -> DataFrame:
@@ -83,10 +81,12 @@ def paths(nodes: DataFrame, edges: DataFrame, graph: str = "graph_id", most_node
 
 def aggregate(per_graph: DataFrame) -> DataFrame:
     """One row over all graphs: totals, and means of what each graph has; where they have a power-law fit
-    (fitted, r2), how many were tested and how many follow one (r2 over ``FITS``)."""
+    (fitted), how many were tested and how many follow one (is_power_law, which a straight line
+    through the frequencies doesn't decide: then none)."""
     tallies = []
-    if {"fitted", "r2"} <= set(per_graph.columns):
-        tallies = [F.count_if(F.col("fitted") & (F.col("r2") > FITS)).alias("power_law_count"), F.count_if("fitted").alias("power_law_total_tested")]
+    if "fitted" in per_graph.columns:
+        follows = F.coalesce("is_power_law", F.lit(False)) if "is_power_law" in per_graph.columns else F.lit(False)
+        tallies = [F.count_if(F.col("fitted") & follows).alias("power_law_count"), F.count_if("fitted").alias("power_law_total_tested")]
     return per_graph.agg(
         F.count("*").alias("graphs"), F.sum("nodes").cast("long").alias("total_nodes"), F.sum("edges").cast("long").alias("total_edges"),
         F.round(F.avg("nodes"), 2).alias("avg_nodes"), F.round(F.avg("edges"), 2).alias("avg_edges"),

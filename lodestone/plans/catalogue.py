@@ -6,6 +6,7 @@ counts are 64-bit, doubles are rounded.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.functions import salvage
-from lodestone.functions.arrow import clean_html, code_similarity, rouge_l
+from lodestone.functions import tokens as bpe
+from lodestone.functions.arrow import clean_html, code_similarity, rouge_l, vector_id
+from lodestone.functions.scratch import new_path
 from lodestone.operators import alignment, chunking, evaluation, graph, matching, propagation, records, stats, training, vectors
+from lodestone.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -482,13 +486,48 @@ def ppr_fixed_iterations(spark, d):
     return propagation.pagerank_steps(nodes, edges, seeds, 10).select("node", F.round("score", 9).alias("score"))
 
 
-@query()
+def _converged_sql(edges: str, nodes: str, seeds: str, rounds: int) -> str:
+    """Ranks by graph to convergence; a graph stays as it is once its change is under n * 1e-4. edges: g, a, b;
+    nodes: g, node; seeds: g, node."""
+    steps = ",\n".join(
+        f"""y{i} AS MATERIALIZED (SELECT p.g, p.node, p.p, p.n, o.x AS old, o.done, 0.85::DOUBLE * (coalesce(gn.gain, 0) + l.lost * p.p) + (1 - 0.85::DOUBLE) * p.p AS x FROM p JOIN r{i - 1} o USING (g, node)
+ LEFT JOIN (SELECT side.g, v AS node, sum(x / deg) AS gain FROM side JOIN deg USING (g, u) JOIN r{i - 1} q ON q.g = side.g AND q.node = u GROUP BY ALL) gn USING (g, node)
+ JOIN (SELECT o.g, sum(CASE WHEN deg.u IS NULL THEN o.x ELSE 0 END) AS lost FROM r{i - 1} o LEFT JOIN deg ON deg.g = o.g AND deg.u = o.node GROUP BY o.g) l USING (g)),
+r{i} AS MATERIALIZED (SELECT g, node, CASE WHEN done THEN old ELSE x END AS x, done OR m.still AS done FROM y{i} JOIN (SELECT g, sum(abs(x - old)) < max(n) * 1e-4 AS still FROM y{i} GROUP BY g) m USING (g))"""
+        for i in range(1, rounds + 1))
+    return f"""pe AS MATERIALIZED ({edges}), pn AS MATERIALIZED ({nodes}), ps AS MATERIALIZED ({seeds}),
+side AS MATERIALIZED (SELECT g, a AS u, b AS v FROM pe UNION SELECT g, b, a FROM pe), deg AS MATERIALIZED (SELECT g, u, count(*) AS deg FROM side GROUP BY ALL),
+p AS MATERIALIZED (SELECT pn.g, pn.node, n.n, CASE WHEN ps.node IS NULL THEN 0 ELSE 1.0::DOUBLE / m.m END AS p FROM pn JOIN (SELECT g, count(*) AS n FROM pn GROUP BY g) n USING (g)
+ JOIN (SELECT g, count(*) AS m FROM ps GROUP BY g) m USING (g) LEFT JOIN ps ON ps.g = pn.g AND ps.node = pn.node),
+r0 AS MATERIALIZED (SELECT g, node, 1.0::DOUBLE / n AS x, false AS done FROM p),
+{steps},
+final AS MATERIALIZED (SELECT g, node, CASE WHEN done THEN x ELSE error('not converged') END AS x FROM r{rounds})"""
+
+
+_LABELS = """_v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+_l AS MATERIALIZED (SELECT x.label AS g, x.vec_id AS a, y.vec_id AS b, list_inner_product(x.u, y.u) AS weight FROM _v x JOIN _v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_inner_product(x.u, y.u) >= 0.2)"""
+_LABEL_RANKS = _LABELS + ", " + _converged_sql("SELECT g, a, b FROM _l", "SELECT label AS g, vec_id AS node FROM embeddings", "SELECT label AS g, min(vec_id) AS node FROM embeddings GROUP BY label", 45)
+
+
+@query(f"WITH {_LABEL_RANKS} SELECT g AS graph_id, node, round(x, 9) AS score FROM final")
 def ppr_converged(spark, d):
-    """Each label's similarity graph from its vectors that agree with the most others."""
+    """Each label's similarity graph from its first vector."""
+    nodes, edges, seeds = _label_seeds(spark, d)
+    return propagation.pagerank(nodes, edges, seeds).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_LABEL_RANKS} SELECT g AS graph_id, node, round(x, 9) AS score FROM final")
+def ppr_large_graphs(spark, d):
+    """The same by joins, as for graphs over the bound of a task."""
+    nodes, edges, seeds = _label_seeds(spark, d)
+    return propagation.pagerank(nodes, edges, seeds, most_edges=0).withColumn("score", F.round("score", 9))
+
+
+def _label_seeds(spark, d):
     e = table(spark, d, "embeddings")
     edges = vectors.similar_pairs(e, 0.2, graph="label").withColumnRenamed("label", "graph_id")
     seeds = e.groupBy("label").agg(F.min("vec_id").alias("node")).withColumnRenamed("label", "graph_id")
-    return propagation.pagerank(e.select(F.col("label").alias("graph_id"), F.col("vec_id").alias("node")), edges, seeds)
+    return e.select(F.col("label").alias("graph_id"), F.col("vec_id").alias("node")), edges, seeds
 
 
 _CUT = """y AS (SELECT c_nationkey, c_custkey AS node, -ln(c_acctbal / 10000) AS y FROM customer WHERE c_acctbal > 0),
@@ -541,20 +580,39 @@ def subgraph_edges_induced(spark, d):
     return propagation.subgraph_edges(sel, edges, ["graph_id"], False).select("node", "target", F.round("weight", 6).alias("weight"))
 
 
-@query()
+def _sizes_sql() -> str:
+    """Both cut-offs of the labels' ranks, with the number of induced edges at each node."""
+    cut = lambda name, least, most: f"""SELECT '{name}' AS size, k.g, node, x, rank FROM k JOIN (SELECT k.g, CASE WHEN max(rank) <= {min(least, most)} THEN max(rank)
+ ELSE coalesce(arg_min(rank - 1, (-gap, rank)) FILTER (rank - 1 BETWEEN {least} AND {most}), {most}) END AS keep FROM k GROUP BY k.g) h USING (g) WHERE rank <= keep""".replace("  # noqa: E731", "")
+    return f"""{_LABEL_RANKS}, k AS MATERIALIZED (SELECT g, node, x, row_number() OVER w AS rank, -ln(x) - lag(-ln(x)) OVER w AS gap FROM final WHERE x > 0 WINDOW w AS (PARTITION BY g ORDER BY -ln(x), node)),
+best AS MATERIALIZED ({cut("large", 20, 50)} UNION ALL {cut("small", 3, 10)}),
+e2 AS MATERIALIZED (SELECT g, a AS node, b AS target FROM _l UNION ALL SELECT g, b, a FROM _l)"""
+
+
+@query(f"""WITH {_sizes_sql()} SELECT size, best.g AS graph_id, node, rank, round(-ln(x), 6) AS score,
+(SELECT count(*) FROM e2 JOIN best t ON t.g = e2.g AND t.node = e2.target AND t.size = best.size WHERE e2.g = best.g AND e2.node = best.node) AS n_edges FROM best""")
 def subgraph_two_sizes(spark, d):
-    """PageRank from one label's vectors, both cut-offs, induced edges nested under each node."""
-    nodes, edges, seeds = _similar(spark, d)
+    """PageRank from each label's first vector, both cut-offs, induced edges nested under each node."""
+    nodes, edges, seeds = _label_seeds(spark, d)
     best = propagation.two_sizes(propagation.pagerank(nodes, edges, seeds), ["graph_id"])
     rows = None
     for size in ("large", "small"):
         part = best.where(F.col("size") == size)
         nested = propagation.nested_edges(propagation.subgraph_edges(part, edges, ["graph_id"], False), ["graph_id"])
-        part = part.join(nested, ["graph_id", "node"], "left").select("size", "node", "rank", F.round("score", 6).alias("score"), F.coalesce(F.size("edges"), F.lit(0)).alias("n_edges"))
+        part = part.join(nested, ["graph_id", "node"], "left").select(
+            "size", "graph_id", "node", "rank", F.round("score", 6).alias("score"), F.coalesce(F.size("edges"), F.lit(0)).cast("long").alias("n_edges"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
+@query(f"""WITH {_LABELS}, x2 AS (SELECT g, a, b, weight, 'augmented' AS version FROM _l WHERE g % 2 = 0) SELECT g AS graph_id, a, b, round(weight, 6) AS weight, version FROM x2
+UNION ALL SELECT g, a, b, round(weight, 6), 'base' FROM _l WHERE g NOT IN (SELECT g FROM x2)""")
+def graph_version(spark, d):
+    """The augmented version of the labels that have one, else the base."""
+    base = vectors.similar_pairs(table(spark, d, "embeddings"), 0.2, graph="label").withColumnRenamed("label", "graph_id").withColumn("weight", F.round("weight", 6))
+    return propagation.prefer(base.where("graph_id % 2 = 0").withColumn("version", F.lit("augmented")), base.withColumn("version", F.lit("base")))
+
+
 # --- alignment: an order is an item, its lines are chunks ----------------------------------
 
 _AL = """raw AS (SELECT l_orderkey AS item, l_partkey * 10 + l_linenumber AS ord, -l_extendedprice / 1000 AS forward, CASE WHEN l_discount > 0.02 THEN -l_discount END AS backward, l_quantity / 50 AS parameter,
@@ -911,6 +969,216 @@ def bfs_paths(spark, d):
     return stats.paths(edges.select("graph_id", F.explode(F.array("a", "b")).alias("entity_name")).distinct(), edges)
 
 
+# --- sources and sinks: what is written is read back ------------------------------------------
+
+
+def _new(spark, name: str) -> str:
+    return new_path(spark, name)
+
+
+@query("SELECT doc_id, lang, md5(text) AS text_md5 FROM documents")
+def jsonl_scan(spark, d):
+    """JSON lines of all documents, with a malformed and a blank line behind every tenth one."""
+    path = _new(spark, "jsonl")
+    good = F.to_json(F.struct("doc_id", "lang", "text"))
+    table(spark, d, "documents").select(F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(good, F.lit("{broken"), F.lit(" "))).otherwise(F.array(good))).alias("value")).write.text(path)
+    return readers.read_jsonl(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT lang, doc_id, doc_index FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS doc_index FROM documents) WHERE doc_index >= 5 AND doc_index < 40")
+def raw_line_range(spark, d):
+    """A file for each language in order of doc_id, and the lines [5, 40) of each, strictly."""
+    path = _new(spark, "range")
+    rows = table(spark, d, "documents").select("lang", "doc_id").repartitionByRange(8, "lang").sortWithinPartitions("lang", "doc_id")
+    rows.select(F.col("lang").alias("folder"), F.to_json(F.struct("lang", "doc_id")).alias("value")).write.partitionBy("folder").text(path)
+    return readers.read_jsonl(spark, f"{path}/*", "lang string, doc_id long", 5, 40, strict=True).select("lang", "doc_id", "doc_index")
+
+
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def json_stream_scan(spark, d):
+    """Pretty-printed objects that follow one another."""
+    path = _new(spark, "stream")
+    table(spark, d, "pages").select(F.to_json(F.struct("page_id", "url", "html"), {"pretty": "true"}).alias("value")).write.text(path)
+    return readers.read_json_stream(spark, path, "page_id long, url string, html string").select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, 'e' || label AS entity_name, len(embedding)::BIGINT AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def vector_store_round_trip(spark, d):
+    path = _new(spark, "store")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("e"), F.col("label")).alias("entity_name"), "embedding")
+    writers.write_vector_store(rows, path, stores=8)
+    back = readers.read_vector_store(spark, path)
+    return back.select("id", "entity_name", F.size("embedding").cast("long").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query()
+def vector_identity(spark, d):
+    """The MD5 of each vector's bytes."""
+    return table(spark, d, "embeddings").select("vec_id", vector_id("embedding").alias("id"))
+
+
+@query("""SELECT 'node' AS kind, c_name AS a, '' AS b, c_mktsegment AS attribute FROM customer UNION ALL
+SELECT 'edge', least(c_name, 'n<' || c_nationkey || '>'), greatest(c_name, 'n<' || c_nationkey || '>'), c_acctbal::VARCHAR FROM customer""")
+def graphml_round_trip(spark, d):
+    """A file for each nation: its customers, and an edge from each to the nation."""
+    path = _new(spark, "graphml")
+    c = table(spark, d, "customer")
+    nation = F.concat(F.lit("n<"), F.col("c_nationkey"), F.lit(">"))
+    nodes = c.select(F.col("c_nationkey").alias("graph_id"), F.col("c_name").alias("entity_name"), F.col("c_mktsegment").alias("entity_type"))
+    edges = c.select(F.col("c_nationkey").alias("graph_id"), F.least("c_name", nation).alias("a"), F.greatest("c_name", nation).alias("b"), F.col("c_acctbal").alias("weight"))
+    writers.write_graphml(nodes, edges, path)
+    n, e = readers.read_graphml(spark, f"{path}/*")
+    return n.select(F.lit("node").alias("kind"), F.col("entity_name").alias("a"), F.lit("").alias("b"), F.col("attrs")["entity_type"].alias("attribute")).unionByName(
+        e.select(F.lit("edge").alias("kind"), "a", "b", F.col("attrs")["weight"].alias("attribute")))
+
+
+@query(f"WITH {_AL} SELECT item, ord, score_rank FROM rk WHERE score_rank <= 3")
+def ranked_sink(spark, d):
+    """The outputs of a ranking written, and its cut ranking read back."""
+    path = _new(spark, "ranked")
+    writers.write_ranked(_scored(spark, d), path, ["item"], "ord", 3)
+    return spark.read.parquet(f"{path}/top").select("item", "ord", "score_rank")
+
+
+@query(f"""WITH {_f1_sql(_NORM_WORDS)}, r AS (SELECT 'set' || (turn % 3) AS dataset, f1 FROM f1) SELECT dataset, 'm' AS model, count(*) AS total_samples, round(avg(f1), 4) AS f1_score FROM r GROUP BY ALL""")
+def results_sink(spark, d):
+    path = _new(spark, "results")
+    rows = _pairs(spark, d).select(F.concat(F.lit("set"), F.col("turn") % 3).alias("dataset"), F.lit("m").alias("model"), t.qa_f1(F.col("prediction"), F.col("truth")).alias("f1"))
+    writers.write_results(rows, evaluation.run_scores(rows), path)
+    return spark.read.schema("total_samples long, f1_score double, dataset string, model string").json(f"{path}/score/full").select("dataset", "model", "total_samples", "f1_score")
+
+
+@query(f"""WITH {_CALLS} SELECT coalesce(calls.doc_id::VARCHAR, 'all') AS doc_id, coalesce(calls.operation, 'all') AS operation, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS total_tokens
+FROM calls GROUP BY ROLLUP (calls.doc_id, calls.operation)""")
+def usage_sink(spark, d):
+    path = _new(spark, "usage")
+    writers.write_usage(_calls(spark, d), path, "doc_id")
+    return spark.read.parquet(path).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("all")).alias("doc_id"), F.coalesce("operation", F.lit("all")).alias("operation"), "calls", "total_tokens")
+
+
+# --- further operators ------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN '"' || c_name || '"' ELSE '"' || c_name END AS bare FROM customer""")
+def unquote_once(spark, d):
+    """Names quoted twice, not at all, or at one end only."""
+    quoted = F.expr("""CASE WHEN c_custkey % 3 = 0 THEN concat(' "', c_name, '" ') WHEN c_custkey % 3 = 1 THEN concat('""', c_name, '""') ELSE concat('"', c_name) END""")
+    return table(spark, d, "customer").select("c_custkey", t.unquote_once(quoted).alias("bare"))
+
+
+@query("""SELECT event_id, 'about ' || event_type AS first, (1 + user_id % 4)::BIGINT AS n FROM events WHERE user_id % 5 <> 4 UNION ALL SELECT event_id, NULL, 0 FROM events WHERE user_id % 5 = 4""")
+def confusing_questions(spark, d):
+    """Questions in answers with a code fence and words around them; every fifth user's don't parse."""
+    listed = F.concat(F.lit('"about '), F.col("event_type"), F.lit('"'), F.repeat(F.lit(', "more"'), (F.col("user_id") % 4 + F.when(F.col("user_id") % 4 == 3, 2).otherwise(0)).cast("int")))
+    answer = F.when(F.col("user_id") % 5 == 4, F.lit("```\nno {json")).otherwise(F.concat(F.lit('```json\nHere: {"confusing_questions": ['), listed, F.lit("]} as asked\n```")))
+    rows = table(spark, d, "events").select("event_id", salvage.confusing_questions(answer, 4).alias("q"))
+    return rows.select("event_id", F.get("q", F.lit(0)).alias("first"), F.size("q").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS type, 'nation ' || c_nationkey AS description FROM customer")
+def entity_view(spark, d):
+    v = t.entity_view(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')), F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('"')), F.concat(F.lit("nation "), F.col("c_nationkey")))
+    return table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.name", "v.type", F.col("v.descriptions")[0].alias("description"))
+
+
+@query("SELECT doc_id, toxic AS flag, 'cached' AS origin FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, toxic, 'made' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def cache_miss_fill(spark, d):
+    items = table(spark, d, "labels")
+    shape = lambda df, origin: df.select("doc_id", F.col("toxic").alias("flag"), F.lit(origin).alias("origin"))
+    return matching.fill_missing(shape(items.where("quality = 1"), "cached"), items, lambda missing: shape(missing, "made"), "doc_id")
+
+
+@query("""SELECT doc_id, file_index FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id END AS file_index FROM documents) WHERE file_index BETWEEN 10 AND 99""")
+def graph_file_range(spark, d):
+    path = F.expr("concat('/graphs/set_', CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE cast(doc_id AS string) END, '.graphml')")
+    return stats.file_range(table(spark, d, "documents").select("doc_id", path.alias("path")), 10, 100).select("doc_id", "file_index")
+
+
+@query("""SELECT event_id, position, round(s / position, 4) AS running FROM (SELECT event_id, row_number() OVER w AS position, sum(value) OVER w AS s, count(*) OVER () AS n FROM events WINDOW w AS (ORDER BY event_id))
+WHERE position % 10 = 0 OR position = n""")
+def running_average_of_run(spark, d):
+    return evaluation.running_mean_of_all(table(spark, d, "events"), "value", "event_id")
+
+
+@query(f"""WITH RECURSIVE {_CC} SELECT cc.label, 'V&' || cc.a AS entity_name FROM cc JOIN rk ON rk.label = cc.label AND rk.component = cc.component AND r = 1""")
+def stable_largest_component(spark, d):
+    """Names are cleaned: they come with spaces, small letters and a character reference."""
+    nodes, edges = _label_graphs(spark, d)
+    name = lambda c: F.concat(F.lit(" v&amp;"), F.col(c).cast("string"))
+    return graph.stable_largest(nodes.withColumn("entity_name", name("entity_name")), edges.withColumn("a", name("a")).withColumn("b", name("b")), "label")[0].select("label", "entity_name")
+
+
+@query(f"""WITH {_BUY}, dg AS (SELECT graph_id, n, count(*) AS degree FROM (SELECT graph_id, unnest([a, b]) AS n FROM buy) GROUP BY ALL),
+f AS (SELECT graph_id, count(*) AS nodes, count(*) >= 10 AND count(DISTINCT degree) >= 3 AS fitted FROM dg GROUP BY graph_id), m AS (SELECT graph_id, count(*) AS edges FROM buy GROUP BY graph_id)
+SELECT count(*) AS graphs, sum(nodes)::BIGINT AS total_nodes, sum(edges)::BIGINT AS total_edges, 0::BIGINT AS power_law_count, count(*) FILTER (fitted) AS power_law_total_tested FROM f JOIN m USING (graph_id)""")
+def power_law_tallies(spark, d):
+    nodes, edges = _purchases(spark, d)
+    per = stats.clustering(nodes, edges).join(stats.power_law(graph.degrees(nodes, edges)), "graph_id")
+    return stats.aggregate(per).select("graphs", "total_nodes", "total_edges", "power_law_count", "power_law_total_tested")
+
+
+@query(f"WITH {_E}, f AS (SELECT label, arg_min(v, vec_id) AS q FROM e GROUP BY label) SELECT vec_id, round(list_inner_product(v, q) / sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(q, q)), 6) AS parameter FROM e JOIN f USING (label)")
+def parameter_alignment(spark, d):
+    """The cosine of each vector and its label's first."""
+    u = table(spark, d, "embeddings").select("label", "vec_id", vectors.normalized(F.col("embedding")).alias("u"))
+    q = u.groupBy("label").agg(F.min_by("u", "vec_id").alias("q"))
+    return u.join(q, "label").select("vec_id", F.round(vectors.dot(F.col("u"), F.col("q")), 6).alias("parameter"))
+
+
+@query("SELECT conv_id AS doc_index, turn AS chunk_ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations WHERE conv_id % 2 = 0")
+def retrieve_none(spark, d):
+    """Every chunk of an item, in order."""
+    from lodestone.plans import inference
+
+    c = table(spark, d, "conversations")
+    return inference.retrieve(c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("doc_index")).distinct(), c.select(F.col("conv_id").alias("doc_index"), F.col("turn").alias("chunk_ord"), F.col("text").alias("content")), "none").select("doc_index", "chunk_ord", "rank")
+
+
+@query()
+def retrieve_dense(spark, d):
+    """A conversation's turns by the stand-in encoder, for its first turn."""
+    return _retrieved(spark, d, "dense")
+
+
+@query()
+def retrieve_hybrid_items(spark, d):
+    return _retrieved(spark, d, "hybrid")
+
+
+def _retrieved(spark, d, kind):
+    from lodestone.functions.models import HashedWords
+    from lodestone.plans import inference
+
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_index"), F.col("turn").alias("chunk_ord"), F.col("text").alias("content"))
+    questions = c.groupBy("doc_index").agg(F.min_by("content", "chunk_ord").alias("question"))
+    return inference.retrieve(questions, c, kind, HashedWords(), 3).select("doc_index", "chunk_ord", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def chunk_alignment(spark, d):
+    """Alignment scores of a conversation's turns for its first turn and its last."""
+    from lodestone.functions.models import HashedWords, OverlapProxy
+    from lodestone.plans import mining
+
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_index"), F.col("turn").alias("chunk_ord"), F.col("text").alias("content"))
+    items = c.groupBy("doc_index").agg(F.min_by("content", "chunk_ord").alias("question"), F.max_by("content", "chunk_ord").alias("answer"))
+    return mining.item_scores(items, c, OverlapProxy(), HashedWords()).select("doc_index", "chunk_ord", F.round("score", 6).alias("score"))
+
+
+_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+if os.path.isfile(_TOKENIZER):
+
+    @query()
+    def bpe_window_chunks(spark, d):
+        """Windows of 512 byte-pair tokens that share 12."""
+        return chunking.token_windows(table(spark, d, "documents"), tokenizer=_TOKENIZER)
+
+    @query()
+    def bpe_token_count(spark, d):
+        return table(spark, d, "conversations").select("conv_id", "turn", bpe.token_count(_TOKENIZER)(F.col("text")).alias("tokens"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity graph, seeds of one label, PageRank, cut-off: the ranked subgraph."""
     nodes, edges, seeds = _similar(spark, sf_dir)

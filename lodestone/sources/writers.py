@@ -79,9 +79,10 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     rows.select("graph_id", F.col("line").alias("value")).write.partitionBy("graph_id").text(path)
 
 
-def write_vector_store(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:
-    """A store of JSON rows and a base64 float32 matrix, as read_vector_store() reads it: one file by one
-    task, as the format wants; for tables that a worker holds. Rows are in order of their key."""
+def write_vector_store(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding", stores: int = 1) -> None:
+    """Stores of JSON rows and a base64 float32 matrix, as read_vector_store() reads them: each a file by
+    one task, as the format wants, so that a table that no worker holds needs several. Rows are in order of their
+    key within a store."""
     other = [c for c in vectors.columns if c not in (key, vector)]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +94,7 @@ def write_vector_store(vectors: DataFrame, path: str, key: str = "id", vector: s
         data = [{"__id__": r[key], **{c: r[c] for c in other}} for r in rows.drop(columns=vector).to_dict("records")]
         yield pd.DataFrame({"value": [json.dumps({"embedding_dim": matrix.shape[1], "data": data, "matrix": base64.b64encode(matrix.tobytes()).decode()}, ensure_ascii=False)]})
 
-    vectors.coalesce(1).sortWithinPartitions(key).mapInPandas(pack, "value string").write.text(path)
+    vectors.repartition(stores, key).sortWithinPartitions(key).mapInPandas(pack, "value string").write.text(path)
 
 
 def write_usage(usage: DataFrame, path: str, document: str = "graph_id") -> bool:
