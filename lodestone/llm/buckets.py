@@ -28,6 +28,17 @@ def block_pairs(rows: DataFrame, by: list[str], item: str, blocks) -> DataFrame:
     )
 
 
+def open_pairs(rows: DataFrame, by: list[str], item: str, rest: str, block) -> DataFrame:
+    """block_pairs(), in blocks of ``block`` rows (a column, alike within a group), for groups of which some rows are connected already: those where ``rest`` is false.
+    Pairs of blocks of connected rows are left out, so that a group takes as many rows as
+    it has blocks of open ones, and none if it has no open one."""
+    sizes = rows.groupBy(*by).agg(F.count_if(~F.col(rest)).alias("_done"), F.count_if(rest).alias("_open"), F.max(block).alias("_b")).where("_open > 0")
+    dealt = rows.join(sizes, by).withColumn("_mb", F.ceil(F.col("_done") / F.col("_b")).cast("int")).withColumn("_rb", F.ceil(F.col("_open") / F.col("_b")).cast("int"))
+    at = F.when(F.col(rest), F.col("_mb") + F.pmod(F.xxhash64(item), F.col("_rb"))).otherwise(F.pmod(F.xxhash64(item), F.col("_mb")))
+    dealt = dealt.withColumn("own", at.cast("int")).withColumn("other", F.explode(F.expr(f"sequence(IF({rest}, 0, _mb), _mb + _rb - 1)")))
+    return dealt.select(*rows.columns, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+
+
 def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows of a group next to each other, for runs()."""
     return rows.repartition(*by).sortWithinPartitions(*by)

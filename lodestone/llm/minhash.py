@@ -16,6 +16,11 @@ within r (only spanning links leave a task). Within such a cluster the texts the
 meet, again in bounded blocks, and a link is confirmed on the full sets; pairs that are
 linked already through others need no test, which changes no component.
 
+Hot groups: a bucket or cluster of more than a block gets a pivot, one of a few candidates, the one that
+most of it is near to. Each of its rows meets the pivot first; rows that are linked to it are
+connected, and only pairs with a row that isn't are compared. So a large group of near copies
+costs as many comparisons as it has rows, and a text is sent twice, not once for every block.
+
 Cases: null and empty texts, and texts of blanks, have no words: n_shingles 0, linked with
 nothing. A text of 1 to 4 words has one shingle, its whole sequence. Rows that repeat a doc_id
 count as one document. A null doc_id is linked with nothing (component_id null, kept
@@ -33,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scratch import drop, saved
-from lodestone.llm.buckets import block_pairs, grouped, run_pairs, runs, shared_keys
+from lodestone.llm.buckets import block_pairs, grouped, open_pairs, run_pairs, runs, shared_keys
 from lodestone.llm.components import components, local_roots
 from lodestone.llm.textops import BLANK, U64, Words, blocks, constants, mix, shingles
 
 SIZE, BITS = 64, 8
-BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES = 2048, 512, 8 << 20
+BLOCK_ROWS, BLOCK_TEXTS, BLOCK_TEXT_BYTES, CANDIDATES = 2048, 512, 8 << 20, 8
 
 
 def reach(similarity: float, size: int = SIZE, slack: float = 4.0) -> int:
@@ -131,6 +136,41 @@ def _within(reach_: int, bits: int):
     return run
 
 
+def _near_candidates(reach_: int, bits: int):
+    """key, node, mask: the candidates (bits of the mask) whose signatures are within reach of a row's."""
+    kind = np.uint8 if bits == 8 else np.uint16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.stack([np.frombuffer(x, kind) for x in batch.column("sig").to_pylist()])
+            mask = np.zeros(batch.num_rows, dtype=np.int64)
+            for i in range(CANDIDATES):
+                other = np.stack([np.frombuffer(x, kind) for x in batch.column(f"sig{i}").to_pylist()])
+                mask |= ((sig != other).sum(axis=1) <= reach_).astype(np.int64) << i
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array(mask)], ["key", "node", "mask"])
+
+    return run
+
+
+def voted(rows: DataFrame, reach_: int, bits: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """key, node, near (to the pivot) for rows (key, node, sig), and key, pivot: the candidate that
+    most rows of the key are near to. Candidates follow from hashes; counts are partial aggregates."""
+    least = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "sig"))
+    candidates = rows.groupBy("key").agg(*[least(i).alias(f"c{i}") for i in range(CANDIDATES)])
+    candidates = candidates.select("key", *[F.col(f"c{i}.node").alias(f"node{i}") for i in range(CANDIDATES)], *[F.col(f"c{i}.sig").alias(f"sig{i}") for i in range(CANDIDATES)])
+    candidates = saved(candidates, "candidates", paths)
+    tested = rows.select("key", "node", "sig").join(candidates.select("key", *[f"sig{i}" for i in range(CANDIDATES)]), "key")
+    tested = saved(tested.mapInArrow(_near_candidates(reach_, bits), "key long, node long, mask long"), "tested", paths)
+    bit = lambda i: F.getbit("mask", F.lit(i)).cast("long")
+    votes = tested.groupBy("key").agg(F.greatest(*[F.struct(F.sum(bit(i)).alias("n"), F.lit(i).alias("i")) for i in range(CANDIDATES)]).alias("x"))
+    best = votes.join(candidates, "key").select("key", F.col("x.i").alias("i"), F.get(F.array(*[f"node{i}" for i in range(CANDIDATES)]), F.col("x.i")).alias("pivot"))
+    best = saved(best, "pivots", paths)
+    near = tested.join(best.select("key", "i"), "key").select("key", "node", (F.getbit("mask", F.col("i")) == 1).alias("near"))
+    return near, best.select("key", "pivot")
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted arrays without repeats."""
     n, m = len(x), len(y)
@@ -204,24 +244,51 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, size: in
         "high", "low", "n_shingles", F.col("x.doc_id").alias("node"), F.col("x.sig").alias("sig"))
     classes = saved(classes, "classes", paths)
     keys = classes.select("node", "sig").mapInArrow(_keys(size, bits, chunks), "key long, node long")
-    buckets = shared_keys(keys, ["key"])
+    buckets = saved(shared_keys(keys, ["key"]), "buckets", paths)
     # a sort-merge join at every size: adaptive execution splits it where a key is hot
-    rows = keys.join(buckets.hint("merge"), "key").join(classes.select("node", "sig"), "node")
-    rows = block_pairs(rows, ["key"], "node", F.ceil(F.col("n") / BLOCK_ROWS))
-    near = grouped(rows.select("key", "bi", "bj", "node", "own", "sig"), ["key", "bi", "bj"]).mapInArrow(_within(r, bits), "a long, b long")
-    clusters = components(near, paths)
+    rows = keys.join(buckets.hint("merge"), "key").join(classes.select("node", "sig"), "node").select("key", "node", "sig", "n")
+    met = ["key", "node", "sig"]
+    pairs = block_pairs(rows.where(F.col("n") <= BLOCK_ROWS).select(*met), ["key"], "node", F.lit(1))
+    hot = buckets.where(F.col("n") > BLOCK_ROWS)
+    stars = None
+    if not hot.isEmpty():
+        rows = saved(keys.join(hot.hint("merge"), "key").join(classes.select("node", "sig"), "node").select(*met), "hot", paths)
+        near, pivots = voted(rows, r, bits, paths)
+        near = saved(near, "near_pivot", paths)
+        stars = near.where("near").join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        left = rows.join(near.select("key", "node", (~F.col("near")).alias("rest")), ["key", "node"])
+        pairs = pairs.unionByName(open_pairs(left, ["key"], "node", "rest", F.lit(BLOCK_ROWS)).drop("rest"))
+    near = grouped(pairs.select("key", "bi", "bj", "node", "own", "sig"), ["key", "bi", "bj"]).mapInArrow(_within(r, bits), "a long, b long")
+    clusters = components(near if stars is None else near.unionByName(stars), paths)
     members = clusters.select("node", F.col("root").alias("cluster")).unionByName(
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = saved(members, "members", paths)
     sizes = members.join(classes.select("node", "n_shingles"), "node").groupBy("cluster").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
-    sized = saved(members.join(sizes, "cluster"), "sized", paths)
+    nb = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("volume") * 8 / BLOCK_TEXT_BYTES)).cast("int")
+    sized = saved(members.join(sizes, "cluster").select("node", "cluster", nb.alias("nb"), F.ceil(F.col("n") / nb).alias("per")), "sized", paths)
     # classes of one doc_id can differ in text; each text of a class's first document comes along.
     # The one shuffle of all texts, by merge at every size; what follows moves texts of members only
-    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(sized.hint("merge"), texts.doc_id == F.col("node")).select("node", "cluster", "n", "volume", "text")
-    found = block_pairs(found, ["cluster"], "node", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("volume") * 8 / BLOCK_TEXT_BYTES)))
-    links = grouped(found.select("cluster", "bi", "bj", "node", "own", "text"), ["cluster", "bi", "bj"]).mapInArrow(
-        _confirm(r, percent, words, size, bits), "a long, b long")
+    found = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(sized.hint("merge"), texts.doc_id == F.col("node")).select("node", "cluster", "nb", "per", "text")
+    schema, by = "a long, b long", ["cluster", "bi", "bj"]
+    confirm = lambda df: grouped(df.select(*by, "node", "own", "text"), by).mapInArrow(_confirm(r, percent, words, size, bits), schema)
+    many = sized.where("nb > 1")
+    if many.isEmpty():
+        links = confirm(block_pairs(found.drop("nb", "per"), ["cluster"], "node", F.lit(1)))
+    else:
+        found = saved(found, "members_texts", paths)
+        few = confirm(block_pairs(found.where("nb = 1").drop("nb", "per"), ["cluster"], "node", F.lit(1)))
+        large = found.where("nb > 1")
+        signed_members = many.select(F.col("cluster").alias("key"), "node").join(classes.select("node", "sig"), "node")
+        # near enough that most of the cluster will be linked to the pivot
+        _, pivots = voted(saved(signed_members, "signed_members", paths), round(size * (1 - percent / 100)), bits, paths)
+        large = large.join(pivots.withColumnRenamed("key", "cluster"), "cluster")
+        at = F.when(F.col("node") == F.col("pivot"), F.expr("sequence(0, nb - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
+        star = large.withColumn("bi", F.explode(at)).withColumn("bj", F.col("nb")).withColumn("own", F.when(F.col("node") == F.col("pivot"), F.col("nb")).otherwise(F.col("bi")))
+        star = saved(confirm(star), "stars", paths)
+        done = star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("rest", F.lit(False))
+        left = large.drop("nb").join(done, "node", "left").withColumn("rest", F.coalesce("rest", F.col("node") != F.col("pivot")))
+        links = few.unionByName(star).unionByName(confirm(open_pairs(left.drop("pivot"), ["cluster"], "node", "rest", F.col("per"))))
     # documents of one set are linked through the class, and classes through one doc_id
     roots = components(links, paths)
     roots = classes.select("high", "low", "n_shingles", "node").join(roots, "node", "left").select(

@@ -89,6 +89,24 @@ def test_blocks_change_no_component(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 80).collect()} == want
 
 
+@pytest.mark.parametrize("rows_, texts_, size_", [(3, 3, 8 << 20), (2048, 4, 8 << 20), (5, 512, 2000)])
+def test_hot_groups_meet_a_pivot_first(spark, monkeypatch, rows_, texts_, size_):
+    """Groups over a block of a few families, bridges between them, and rows that no pivot is near to."""
+    r = random.Random(8)
+    rows = near_rows()
+    for family in range(3):
+        w = prose(40 + family, 60).split()
+        for i in range(40):  # a walk: each is near to the one before, few to the first
+            w[r.randrange(60)] = f"step{family}{i}"
+            rows.append((2000 + 100 * family + i, " ".join(w)))
+    want, _ = brute_components(rows, 80)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", texts_)
+    monkeypatch.setattr(minhash, "BLOCK_TEXT_BYTES", size_)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows), 80).collect() if x.doc_id is not None}
+    assert got == want and len({want[2000 + i] for i in range(40)}) < 40
+
+
 def test_deduplicate_keeps_columns_and_one_of_each_group(spark):
     df = docs(spark, near_rows())
     want, _ = brute_components(near_rows(), 80)
