@@ -21,30 +21,43 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, no letter, no language likely enough) go."""
+    """Documents without a language go: null and empty texts, texts without a letter, and those whose best
+    language is not likely enough. Very long texts count by all of their windows. Of languages with equal
+    probability the first counts, which changes no decision. Repeated rows are decided alike, each for
+    itself. Without a document to learn from, or an empty table, nothing is left."""
     return langid.keep_languages(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its documents; n_chars follows the text. Near copies, as
     the next stage finds them, count as one page, so that a large group keeps its own text until one
-    of it is chosen. A document of boilerplate only keeps its text, for the next stage to compare."""
+    of it is chosen. A document of boilerplate only keeps its text, for the next stage to compare.
+
+    A null text stays null with a null n_chars; an empty one stays; both are pages of their host. A line
+    exactly at the ratio stays. Rows that repeat a doc_id count each. An empty table stays empty."""
     kept = linededup.strip_lines(docs, groups=linededup.near_groups(docs, NEAR_PERCENT), whole=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id; rows that
+    repeat that doc_id all stay. Null and empty texts and those without words are in no group and stay, as do
+    rows without a doc_id. Very long texts are compared whole. A pair exactly at the threshold
+    is linked. An empty table stays empty."""
     return minhash.deduplicate(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go: ten words in a row of an item, or the whole of a
+    shorter one. Null and empty texts have none and stay. Very long texts are searched whole. Repeated rows are
+    decided alike. An item without words, or an empty benchmark, takes no document."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens. Null and empty texts are one token, the end of a
+    document. Long texts are cut into as many pieces as they need; repeated rows are packed each.
+    An empty table has no pieces."""
     return packing.pack(docs)
 
 
