@@ -318,6 +318,39 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     check_packed(sorted(want.items()), corpus_pipeline.run(spark, str(tmp_path)).collect())
 
 
+def odd_documents(spark):
+    """Rows with nulls in any column, empty and very long texts, ties, repeats, and columns with clashing names."""
+    long = prose(99, 30_000)
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the and of to in that is was", "en", "s", 1), (3, long, "en", None, 1), (4, long, None, "s", 1), (4, long, None, "s", 1), (5, "12 ??", "en", "", 1), (6, "one line\none line\n\n", "de", "s", 1)]
+    rows += [(10 + i, f"der die und nicht {prose(i, 30)}\nfoot", "de", "s", 1) for i in range(30)]
+    return spark.createDataFrame([(*x, 7, "x", True) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, cluster string, near boolean")
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows_and_on_none(spark, tmp_path, name):
+    spark.createDataFrame([(0, prose(3, 25)), (None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df, stage = odd_documents(spark), dict(corpus_pipeline.STAGES)[name]
+    rows = df.collect()
+    out = stage(spark, df, str(tmp_path))
+    got = out.collect()
+    assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    if name == "packing":
+        return check_packed([(r.doc_id, r.text) for r in rows], got)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    count = lambda xs: sorted((str(r.doc_id) for r in xs))
+    if name == "language_id":
+        assert count(got) == count(r for r in rows if r.text and re.search("[a-z]", r.text))
+    elif name == "line_dedup":
+        texts = {r.doc_id: r.text for r in got}
+        assert count(got) == count(rows) and texts[1] is None and texts[2] == "" and texts[10] == f"der die und nicht {prose(0, 30)}"
+        assert texts[6] == "one line\none line\n\n" and texts[3] == texts[4] == prose(99, 30_000)
+    elif name == "minhash_near_dedup":
+        assert count(got) == count(r for r in rows if r.doc_id != 4)
+    else:
+        assert count(got) == count(r for r in rows if not brute_overlap(r.text, [("0", prose(3, 25))])[1])
+    return None
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
