@@ -18,6 +18,8 @@ from lodestone.functions.arrow import unit_rows
 from lodestone.functions.models import lexical
 
 BLOCK = 1024
+#: Vectors of a block of all-pairs similarity.
+PAIR_BLOCK = 4096
 
 
 def norm(v: Column) -> Column:
@@ -90,12 +92,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float |
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", graph: str | None = None, block: int = BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", graph: str | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """a < b and weight for all pairs (within ``graph``, if given) with a cosine of theta or more.
 
     Exact: vectors are dealt to blocks of about ``block`` by a hash, each pair of blocks is
-    one matrix product, and only pairs over theta leave it. The number of blocks of a graph
-    follows its measured size."""
+    a matrix product, strip by strip, and only pairs over theta leave it. The number of blocks of a
+    graph follows its measured size; a vector is sent once for each block of its graph, so large
+    blocks move less. All pairs is what the result asks for: the work grows with the square of a graph."""
     by = [graph] if graph else []
     rows = vectors.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"))
     if by:
@@ -110,12 +113,17 @@ def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector:
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf.bi.iloc[0], pdf.bj.iloc[0]
         left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-        s = unit_rows(left.v) @ unit_rows(right.v).T if len(left) and len(right) else np.zeros((len(left), len(right)))
-        x, y = np.nonzero(s >= theta)
-        a, b = left.id.to_numpy()[x], right.id.to_numpy()[y]
-        ok = a < b if i == j else a != b
-        a, b, x, y = a[ok], b[ok], x[ok], y[ok]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "weight": s[x, y]})
+        parts = []
+        if len(left) and len(right):
+            u, v, ids, other = unit_rows(left.v), unit_rows(right.v), left.id.to_numpy(), right.id.to_numpy()
+            for lo in range(0, len(u), BLOCK):
+                s = u[lo : lo + BLOCK] @ v.T
+                x, y = np.nonzero(s >= theta)
+                a, b = ids[lo + x], other[y]
+                ok = a < b if i == j else a != b
+                a, b = a[ok], b[ok]
+                parts.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "weight": s[x[ok], y[ok]]}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"a": left.id.iloc[:0], "b": left.id.iloc[:0], "weight": np.zeros(0)})
         for g in by:
             out[g] = pdf[g].iloc[0]
         return out[[*by, "a", "b", "weight"]]

@@ -136,7 +136,7 @@ def llm_extract_pipeline(spark, d):
     return CorpusGraph.from_documents(table(spark, d, "documents"), RuleExtractor()).stats()
 
 
-@query()
+@query(rf"""SELECT page_id, regexp_replace(replace(replace(replace(replace(trim(html, {_BL}), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '[\x00-\x1f\x7f-\x9f]', '', 'g') AS cleaned FROM pages""")
 def clean_html_entities(spark, d):
     return table(spark, d, "pages").select("page_id", clean_html("html").alias("cleaned"))
 
@@ -791,7 +791,11 @@ def classification_live(spark, d):
     return p.select("p_partkey", F.round(t.classification(F.concat_ws(" ", "p_name", "p_type"), F.col("p_name"), classes), 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIR}, tk AS MATERIALIZED (SELECT conv_id, turn, {_WORDS.format('prediction')} AS p, {_WORDS.format('truth')} AS g FROM pair),
+dp AS (SELECT conv_id, turn, 0 AS i, list_transform(g, lambda x: 0) AS row FROM tk
+ UNION ALL SELECT conv_id, turn, i, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+  SELECT conv_id, turn, i + 1 AS i, list_transform(range(1, len(g) + 1), lambda j: CASE WHEN g[j] = p[i + 1] THEN coalesce(row[j - 1], 0) + 1 ELSE row[j] END) AS c FROM dp JOIN tk USING (conv_id, turn) WHERE i < len(p)))
+SELECT conv_id, turn, round(CASE WHEN len(g) = 0 OR len(p) = 0 THEN 0 ELSE 2 * row[len(g)] / (len(p) + len(g)) END, 6)::DOUBLE AS score FROM dp JOIN tk USING (conv_id, turn) WHERE i = len(p)""")
 def rouge_l_scores(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.round(rouge_l("prediction", "truth"), 6).alias("score"))
 
@@ -1094,10 +1098,10 @@ def graph_file_range(spark, d):
     return stats.file_range(table(spark, d, "documents").select("doc_id", path.alias("path")), 10, 100).select("doc_id", "file_index")
 
 
-@query("""SELECT event_id, position, round(s / position, 4) AS running FROM (SELECT event_id, row_number() OVER w AS position, sum(value) OVER w AS s, count(*) OVER () AS n FROM events WINDOW w AS (ORDER BY event_id))
+@query("""SELECT event_id, position, round(s / position, 4) AS running FROM (SELECT event_id, row_number() OVER w AS position, sum(user_id) OVER w AS s, count(*) OVER () AS n FROM events WINDOW w AS (ORDER BY event_id))
 WHERE position % 10 = 0 OR position = n""")
 def running_average_of_run(spark, d):
-    return evaluation.running_mean_of_all(table(spark, d, "events"), "value", "event_id")
+    return evaluation.running_mean_of_all(table(spark, d, "events").withColumn("value", F.col("user_id").cast("double")), "value", "event_id")
 
 
 @query(f"""WITH RECURSIVE {_CC} SELECT cc.label, 'V&' || cc.a AS entity_name FROM cc JOIN rk ON rk.label = cc.label AND rk.component = cc.component AND r = 1""")
