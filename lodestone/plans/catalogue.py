@@ -150,9 +150,19 @@ def json_array_salvage(spark, d):
     return rows.select("event_id", F.get("found", F.lit(0)).alias("k"), F.size("found").cast("long").alias("n"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: regexp_replace(x, '[.!?]', ' ', 'g') || CASE i % 7 WHEN 3 THEN chr(10) || repeat('-', 12) || chr(10) WHEN 5 THEN chr(10) || chr(10) ELSE ' ' END), '') AS text FROM documents),
+s AS MATERIALIZED (SELECT doc_id, trim(text, {_BL}) AS s FROM d WHERE trim(text, {_BL}) <> ''),
+p AS MATERIALIZED (SELECT doc_id, i, p, len({_WORDS.format('p')}) AS n FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (
+ SELECT doc_id, CASE WHEN len({_WORDS.format('s')}) <= 256 THEN [s] ELSE list_filter(string_split(regexp_replace(s, '(\n\s*-{{10,}}\s*\n|\n\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') END AS ps FROM s))),
+g AS (SELECT doc_id, 1 AS i, 1 AS piece, n AS held FROM p WHERE i = 1
+ UNION ALL SELECT g.doc_id, p.i, CASE WHEN held + n > 256 THEN piece + 1 ELSE piece END, CASE WHEN held + n > 256 THEN n ELSE held + n END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1),
+m AS (SELECT doc_id, piece, trim(string_agg(p, '' ORDER BY p.i), {_BL}) AS content FROM g JOIN p USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk_ord, content FROM m WHERE content <> ''""")
 def sentence_chunks_split(spark, d):
-    return chunking.sentence_windows(table(spark, d, "documents"), 1, 0, split_long=True)
+    """Each document as one sentence with dashed rules and empty lines in it, cut where it is long."""
+    parts = F.transform(F.split("text", r"\. ", -1), lambda x, i: F.concat(F.regexp_replace(x, "[.!?]", " "), F.when(i % 7 == 2, "\n------------\n").when(i % 7 == 4, "\n\n").otherwise(" ")))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(parts, "").alias("text"))
+    return chunking.sentence_windows(docs, 1, 0, split_long=True)
 
 
 # --- text -------------------------------------------------------------------------------
