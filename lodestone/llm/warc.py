@@ -15,7 +15,8 @@ payloads are shared is found from digests alone (a partial aggregate); they reac
 by a broadcast if their measured size is below ``broadcast_bytes``, else by a join on the digest.
 
 Files are read back whole, one row a file, and decompressed a piece at a time; writers keep
-files small by ``records_per_file``.
+files small: the mean size of the payloads is measured first, and a file has as many records as
+have about ``file_bytes`` before compression, ``records_per_file`` at most.
 
 Cases: null html is an empty payload; a null url is ``-``, and blanks and control characters
 in urls are percent-encoded; pages that share the largest page_id of a payload (repeated rows)
@@ -46,7 +47,7 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-LEAST_BYTES, BROADCAST_BYTES, RECORDS_PER_FILE = 0, 16 << 20, 20_000
+LEAST_BYTES, BROADCAST_BYTES, RECORDS_PER_FILE, FILE_BYTES = 0, 16 << 20, 20_000, 256 << 20
 _KEY = b"X-Archive-Key:"
 READ = "page_id long, url string, warc_date string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
 
@@ -297,9 +298,11 @@ def shared_payloads(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFra
     return keyed.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").drop("n")
 
 
-def pages_to_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, broadcast_bytes: int = BROADCAST_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def pages_to_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, broadcast_bytes: int = BROADCAST_BYTES, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path``."""
     found = saved(shared_payloads(pages, least_bytes), "payloads")
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, int(file_bytes / (500 + mean))))
     small = found.count() * 64 <= broadcast_bytes
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     rows = rows.withColumn("sha1", F.sha1(F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")))

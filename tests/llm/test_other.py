@@ -185,6 +185,8 @@ def test_archive_round_trip(spark, tmp_path, broadcast):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
     assert all(r.payload_ok for r in got)
     assert {r.url for r in got} == {"http://a%20b", "-", "u"}
+    warc.pages_to_warc(df.coalesce(1), str(tmp_path / "small"), file_bytes=100_000)
+    assert len(list((tmp_path / "small").glob("part*"))) >= 3 and warc.read_warc(spark, str(tmp_path / "small")).count() == len(pages)
     warc.pages_to_warc(df.limit(0), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
     small = warc.shared_payloads(df, least_bytes=4)
