@@ -117,22 +117,25 @@ class ByteNet:
         w = self.weights
         part = lambda k, j: w["embed"] @ w[f"filter{k}"][j]
         two = lambda k, j: (part(k, j)[:, None] + part(k, j + 1)[None, :]).reshape(65536, -1)
-        self.pair = np.concatenate([two(2, 0), two(3, 0), two(4, 0), two(4, 2)], axis=1).astype(np.float32)
+        self.pair = np.stack([two(2, 0), two(3, 0), two(4, 0), two(4, 2)]).astype(np.float32)
         self.single = part(3, 2).astype(np.float32)
         return self
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """For each window (row of folded bytes), the probability of each language."""
-        out, f, w = [], self.filters, self.weights
-        for i in range(0, len(x), 192):
-            part = x[i : i + 192]
-            n, t = part.shape
-            index = part[:, :-1].astype(np.intp) * 256 + part[:, 1:]
-            z = np.take(self.pair, index, axis=0)
-            h2 = z[:, :, :f].max(axis=1)
-            h3 = (z[:, : t - 2, f : 2 * f] + np.take(self.single, part[:, 2:], axis=0)).max(axis=1)
-            h4 = (z[:, : t - 3, 2 * f : 3 * f] + z[:, 2:, 3 * f :]).max(axis=1)
-            h = np.concatenate([h2 + w["shift2"], h3 + w["shift3"], h4 + w["shift4"]], axis=1)
+        out, w = [], self.weights
+        look = lambda table, at: np.take(table, at, axis=0, mode="clip")
+        for i in range(0, len(x), 64):
+            # places first: the maximum over them runs along whole rows, and a part stays in the cache
+            part = np.ascontiguousarray(x[i : i + 64].T)
+            index = part[:-1].astype(np.intp) * 256 + part[1:]
+            h2 = look(self.pair[0], index).max(axis=0)
+            z = look(self.pair[1], index[:-1])
+            z += look(self.single, part[2:])
+            h3 = z.max(axis=0)
+            z = look(self.pair[2], index[:-2])
+            z += look(self.pair[3], index[2:])
+            h = np.concatenate([h2 + w["shift2"], h3 + w["shift3"], z.max(axis=0) + w["shift4"]], axis=1)
             out.append(_softmax(np.maximum(h, 0) @ w["out"] + w["bias"]))
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
