@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import html.entities
 import re
 
 import numpy as np
@@ -49,11 +50,32 @@ def code_similarity(prediction: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(p or "", t or "") for p, t in zip(prediction, truth)], dtype=float)
 
 
-@F.pandas_udf(T.StringType())
-def clean_html(text: pd.Series) -> pd.Series:
-    """Strip, decode all HTML character references, delete control characters."""
+_REFERENCE = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decode_references(text: str, names: frozenset[str] | None = None) -> str:
+    """Complete character references decoded, once; only those of ``names``, if given. One without its
+    semicolon is cut or part of an address, and stays, as does an unknown name."""
+
+    def one(m: re.Match) -> str:
+        if names is not None and m[1] not in names:
+            return m[0]
+        return html.unescape(m[0]) if m[1][0] == "#" else html.entities.html5.get(m[1] + ";", m[0])
+
+    return _REFERENCE.sub(one, text)
+
+
+def clean_html(text, names: tuple[str, ...] | None = None):
+    """Strip blanks, decode HTML's complete character references (all, or those of ``names``), delete
+    control characters of a text column."""
     control = re.compile(r"[\x00-\x1f\x7f-\x9f]")
-    return text.map(lambda t: None if t is None else control.sub("", html.unescape(t.strip())))
+    known = None if names is None else frozenset(names)
+
+    @F.pandas_udf(T.StringType())
+    def clean(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else control.sub("", decode_references(t.strip(" \t\n\r\f\x0b"), known)))
+
+    return clean(text)
 
 
 def by_words(text: str) -> int:

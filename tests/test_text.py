@@ -99,3 +99,12 @@ def test_split_long():
     assert "".join(parts) == text_
     assert [len(p.split()) for p in parts] == [200, 110]
     assert split_long("one " * 300, 256) == ["one " * 300]
+
+
+def test_clean_html_decodes_complete_references_only(spark):
+    from lodestone.functions.arrow import clean_html
+
+    html = "\t a &amp; b &lt;&#65;&#x42;&euml; &amp;quot; ?x=1&copy=2 &nosuch; cut &amp"
+    assert one(spark, clean_html(F.col("h")), h=html) == "a & b <ABë &quot; ?x=1&copy=2 &nosuch; cut &amp"
+    assert one(spark, clean_html(F.col("h"), ("amp", "quot")), h=html) == "a & b &lt;&#65;&#x42;&euml; &quot; ?x=1&copy=2 &nosuch; cut &amp"
+    assert one(spark, clean_html(F.col("h")), h="\u00a0kept\u0085\u00a0 \n") == "\u00a0kept\u00a0"
