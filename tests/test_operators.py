@@ -174,3 +174,38 @@ def test_coverage_and_usage(spark):
     assert float(stats.cost(calls, prices, "m").agg(F.sum("cost")).first()[0]) == 10 * 0.5 + 1 + 20 * 0.5 + 2
     more = stats.usage(calls.unionByName(calls))
     assert stats.usage_between(more, use, ["doc_id", "operation"]).where("doc_id IS NULL").first().calls == 2
+
+
+def _walked(edges):
+    """Diameter and mean path length by walks from every node."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found = []
+    for s in near:
+        seen, ring = {s: 0}, [s]
+        while ring:
+            ring = [v for u in ring for v in near[u] if v not in seen and not seen.update({v: seen[u] + 1})]
+        found += [d for v, d in seen.items() if v != s]
+    return max(found), sum(found) / len(found)
+
+
+def test_paths_of_trees_and_cycles_with_tails(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    tails = [("r0", "t1"), ("t1", "t2"), ("t2", "t3"), ("r3", "u1"), ("u1", "u2"), ("u1", "u3"), ("r3", "w1")]
+    tree = [(f"n{i:02d}", f"n{(i - 1) // 2:02d}") for i in range(1, 20)]
+    graphs = [ring + tails, tree, [("a", "b")], [("a", "b"), ("b", "c"), ("c", "c")]]
+    e = spark.createDataFrame([(i, *x) for i, edges in enumerate(graphs) for x in edges], "graph_id long, a string, b string")
+    nodes = e.select("graph_id", F.explode(F.array("a", "b")).alias("entity_name")).distinct()
+    got = {p.graph_id: p for p in stats.paths(nodes, e).collect()}
+    for i, edges in enumerate(graphs):
+        far, mean = _walked([x for x in edges if x[0] != x[1]])
+        assert got[i].diameter == far and got[i].avg_path == pytest.approx(mean, abs=1e-6)
+
+
+def test_paths_of_a_graph_of_over_5000_nodes(spark):
+    e = spark.range(6000).select(F.lit(1).alias("graph_id"), F.lit("hub").alias("a"), F.concat(F.lit("leaf"), "id").alias("b"))
+    nodes = e.select("graph_id", F.explode(F.array("a", "b")).alias("entity_name")).distinct()
+    p = stats.paths(nodes, e).first()
+    assert p is not None and p.diameter == 2 and p.avg_path == pytest.approx((6000 * 5999 * 2 + 12000) / (6001 * 6000), abs=1e-6)
