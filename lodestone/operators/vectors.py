@@ -11,15 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.arrow import unit_rows
+from lodestone.functions.arrow import unit_batch, unit_rows
 from lodestone.functions.models import lexical
 
 BLOCK = 1024
-#: Vectors of a block of all-pairs similarity.
-PAIR_BLOCK = 4096
+#: Vectors of a block of all-pairs similarity, at most; a block of 64 dimensions is 8 MB.
+PAIR_BLOCK = 16384
+#: Cosines that a task holds at once (8 MB).
+STRIP = 1 << 20
 
 
 def norm(v: Column) -> Column:
@@ -92,43 +96,73 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float |
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def blocks_of(n: int, most: int = PAIR_BLOCK) -> int:
+    """Blocks that n vectors are dealt to: enough pairs of blocks for many tasks, none of over ``most``."""
+    return max(-(-n // most), min(8, n // 256), 1)
+
+
+def _dealt(vectors: DataFrame, key: str, vector: str, by: list[str], block: int) -> DataFrame:
+    """by, id, v and the vector's own of ``nb`` blocks, by a hash; nb follows the measured size."""
+    rows = vectors.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"))
+    if by:
+        n = F.count("*")
+        sizes = vectors.groupBy(*by).agg(F.greatest(F.ceil(n / block), F.least(F.lit(8), F.floor(n / 256)), F.lit(1)).cast("int").alias("nb"))
+        rows = rows.join(sizes, by)
+    else:
+        rows = rows.withColumn("nb", F.lit(blocks_of(vectors.count(), block)))
+    return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+
+
 def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", graph: str | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """a < b and weight for all pairs (within ``graph``, if given) with a cosine of theta or more.
 
     Exact: vectors are dealt to blocks of about ``block`` by a hash, each pair of blocks is
-    a matrix product, strip by strip, and only pairs over theta leave it. The number of blocks of a
+    a matrix product, strip by strip, and only pairs over theta leave it, a strip at a time. The number of blocks of a
     graph follows its measured size; a vector is sent once for each block of its graph, so large
     blocks move less. All pairs is what the result asks for: the work grows with the square of a graph."""
     by = [graph] if graph else []
-    rows = vectors.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"))
-    if by:
-        rows = rows.join(vectors.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), by)
-    else:
-        rows = rows.withColumn("nb", F.lit(-(-vectors.count() // block)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    rows = _dealt(vectors, key, vector, by, block).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     rows = rows.select(*by, "id", "v", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     kind = dict(vectors.dtypes)
     schema = ", ".join([*[f"{g} {kind[g]}" for g in by], f"a {kind[key]}", f"b {kind[key]}", "weight double"])
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf.bi.iloc[0], pdf.bj.iloc[0]
-        left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-        parts = []
-        if len(left) and len(right):
-            u, v, ids, other = unit_rows(left.v), unit_rows(right.v), left.id.to_numpy(), right.id.to_numpy()
-            for lo in range(0, len(u), BLOCK):
-                s = u[lo : lo + BLOCK] @ v.T
-                x, y = np.nonzero(s >= theta)
-                a, b = ids[lo + x], other[y]
-                ok = a < b if i == j else a != b
-                a, b = a[ok], b[ok]
-                parts.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "weight": s[x[ok], y[ok]]}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"a": left.id.iloc[:0], "b": left.id.iloc[:0], "weight": np.zeros(0)})
-        for g in by:
-            out[g] = pdf[g].iloc[0]
-        return out[[*by, "a", "b", "weight"]]
-
-    return rows.groupBy(*by, "bi", "bj").applyInPandas(product, schema)
+    names = [g for g in by] + ["a", "b", "weight"]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        label = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = {c: batch.column(c)[0] for c in (*by, "bi", "bj")}
+            label, i, j = [first[g] for g in by], first["bi"].as_py(), first["bj"].as_py()
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            unit = unit_batch(batch.column("v"))
+            for o in {i, j}:
+                on = own == o
+                parts.setdefault(o, []).append((batch.column("id").filter(pa.array(on)), unit[on]))
+        if label is None or i not in parts or j not in parts:
+            return
+        joined = {o: (pa.concat_arrays([x[0] for x in p]), np.concatenate([x[1] for x in p])) for o, p in parts.items()}
+        parts.clear()
+        (ids, u), (other, v) = joined[i], joined[j]
+        step = max(1, STRIP // max(len(v), 1))
+        for lo in range(0, len(u), step):
+            s = u[lo : lo + step] @ v.T
+            x, y = np.nonzero(s >= theta)
+            weight = s[x, y]
+            a, b = ids.take(pa.array(lo + x)), other.take(pa.array(y))
+            less = pc.less(a, b).to_numpy(zero_copy_only=False)
+            if i == j:
+                a, b, weight = a.filter(pa.array(less)), b.filter(pa.array(less)), weight[less]
+            else:
+                a, b = pc.if_else(pa.array(less), a, b), pc.if_else(pa.array(less), b, a)
+                if len(a):
+                    ok = pc.not_equal(a, b)
+                    a, b, weight = a.filter(ok), b.filter(ok), weight[ok.to_numpy(zero_copy_only=False)]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(g, len(a)) for g in label], a, b, pa.array(weight)], names=names)
+
+    return rows.groupBy(*by, "bi", "bj").applyInArrow(product, schema)
 
 
 def augment(edges: DataFrame, similar: DataFrame, theta: float) -> DataFrame:
