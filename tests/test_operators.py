@@ -209,3 +209,35 @@ def test_paths_of_a_graph_of_over_5000_nodes(spark):
     nodes = e.select("graph_id", F.explode(F.array("a", "b")).alias("entity_name")).distinct()
     p = stats.paths(nodes, e).first()
     assert p is not None and p.diameter == 2 and p.avg_path == pytest.approx((6000 * 5999 * 2 + 12000) / (6001 * 6000), abs=1e-6)
+
+
+def _two_graphs(spark, n=150):
+    m = np.random.default_rng(4).normal(size=(n, 6))
+    m[:20] = m[0] + 0.05 * m[:20]
+    return spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, label int, embedding array<double>")
+
+
+def test_clustering_of_similar_vectors_without_their_edges(spark):
+    from lodestone.operators import similarity
+
+    df = _two_graphs(spark)
+    nodes = df.select("label", F.col("vec_id").alias("entity_name"))
+    want = stats.clustering(nodes, vectors.similar_pairs(df, 0.5, graph="label"), "label")
+    assert rows(similarity.clustering(df, 0.5, "label"), *want.columns) == rows(want, *want.columns)
+    got = similarity.local_counts(df, 0.5, "label", block=13)
+    assert rows(got, "vec_id", "degree", "triangles") == rows(similarity.local_counts(df, 0.5, "label"), "vec_id", "degree", "triangles")
+
+
+@pytest.mark.parametrize("tolerance", [1e-4, None])
+def test_ranks_of_similar_vectors_without_their_edges(spark, tolerance):
+    from lodestone.operators import similarity
+
+    df = _two_graphs(spark)
+    seeds = spark.createDataFrame([(0, 0), (0, 30), (1, 1)], "label int, node long")
+    edges, nodes = vectors.similar_pairs(df, 0.5, graph="label"), df.select("label", F.col("vec_id").alias("node"))
+    want = propagation.pagerank(nodes, edges, seeds, "label") if tolerance else propagation.pagerank_steps(nodes, edges, seeds, 4, graph="label")
+    want = {(r.label, r.node): r.score for r in want.collect()}
+    for block in (17, 1000):
+        got = {(r.label, r.node): r.score for r in similarity.pagerank(df, seeds, 0.5, "label", tolerance=tolerance, rounds=4 if tolerance is None else 100, block=block).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+    assert similarity.pagerank(df, seeds.where("node < 0"), 0.5, "label").isEmpty()
