@@ -31,6 +31,20 @@ def lexical(text: str | None) -> dict[str, float]:
     return {w: c / size for w, c in n.items()}
 
 
+def pieces(batches: Iterator[pd.DataFrame], texts: list[str], most: int = 1 << 18, rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in slices of about ``most`` code points in the columns ``texts`` and of ``rows`` rows at
+    most, so that what a model makes of a batch is bounded. An empty batch stays one."""
+    for pdf in batches:
+        size = sum((pdf[c].str.len().fillna(0).to_numpy(dtype=np.int64) for c in texts), np.zeros(len(pdf), dtype=np.int64))
+        lo, n = 0, 0
+        for i, x in enumerate(size):
+            if i > lo and (n + x > most or i - lo == rows):
+                yield pdf.iloc[lo:i]
+                lo, n = i, 0
+            n += x
+        yield pdf.iloc[lo:]
+
+
 class LLM(Protocol):
     def complete(self, prompts: list[str]) -> list[str]: ...
 
@@ -181,7 +195,7 @@ def complete(df: DataFrame, prompt: str, out: str, llm: LLM, usage: str | None =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retries(llm.complete, **retry)
-        for pdf in batches:
+        for pdf in pieces(batches, [prompt]):
             prompts = pdf[prompt].tolist()
             answers = call(prompts) if len(pdf) else []
             pdf = pdf.assign(**{out: answers})
@@ -198,7 +212,7 @@ def encode(df: DataFrame, text: str, out: str, encoder: Encoder) -> DataFrame:
     """df with the encoder's vectors of a column of texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches, [text]):
             yield pdf.assign(**{out: list(encoder.encode(pdf[text].tolist())) if len(pdf) else []})
 
     return df.mapInPandas(run, f"{df.schema.simpleString()[7:-1]}, {out}: array<double>")
@@ -209,7 +223,7 @@ def hybrid_scores(df: DataFrame, query: str, text: str, out: str, encoder: Multi
     (shared token weights) and multi (the mean, over the query's token vectors, of the best of the text's)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches, [text, query]):
             if not len(pdf):
                 yield pdf.assign(**{out: []})
                 continue
@@ -244,7 +258,7 @@ def log_prob(df: DataFrame, prompt: str, target: str, out: str, model: LogProb,
             return [x for p, t in zip(prompts, targets) for x in scored([p], [t])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches, [prompt, target]):
             prompts, targets = pdf[prompt].tolist(), pdf[target].tolist()
             if most_tokens is not None:
                 prompts = [cut(p, max(0, most_tokens - count(t))) for p, t in zip(prompts, targets)]

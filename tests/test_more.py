@@ -5,6 +5,7 @@ import os
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,15 @@ def test_hooks_and_stable_component(spark):
     rows = spark.createDataFrame([(["x", "y"],)], "descriptions array<string>")
     assert graph.summarised(rows) is rows
     assert graph.summarised(rows, lambda c: F.array(F.array_join(c, " and "))).first().descriptions == ["x and y"]
+
+
+def test_tokenizer_gets_bounded_parts():
+    sizes = [[len(t) for t in p] for p in tokens.parts(["a" * 60, "b" * 50, "", "c" * 500, "d"], 100)]
+    assert sizes == [[60], [50, 0], [500], [1]] and list(tokens.parts([], 100)) == []
+
+
+def test_pieces_of_a_batch_are_bounded():
+    pdf = pd.DataFrame({"n": range(7), "text": ["x" * 40, None, "x" * 90, "x" * 300, "", "x", "x" * 99]}, index=range(3, 10))
+    found = list(models.pieces(iter([pdf]), ["text"], most=100, rows=3))
+    assert pd.concat(found).equals(pdf) and [len(p) for p in found] == [2, 1, 1, 3]
+    assert len(list(models.pieces(iter([pdf.iloc[:0]]), ["text"]))) == 1
