@@ -39,8 +39,14 @@ def ranked_outputs(scored: DataFrame, by: list[str], tie: str, k: int = 10) -> d
 
 
 def write_ranked(scored: DataFrame, path: str, by: list[str], tie: str, k: int = 10) -> None:
-    for name, df in ranked_outputs(scored, by, tie, k).items():
-        write_table(df, f"{path}/{name}")
+    """The ranking is written in full once; what is cut from it reads that table, rank lists that of whole lists."""
+    names = ("forward", "backward", "parameter")
+    read = lambda name: scored.sparkSession.read.parquet(f"{path}/{name}")
+    write_table(alignment.ranks(scored, by, tie), f"{path}/full")
+    for c in ("score", *names):
+        write_table(alignment.top(read("full"), c, k), f"{path}/{'top' if c == 'score' else f'top_{c}'}")
+    write_table(alignment.rank_lists(read("full"), by, tie), f"{path}/rank_lists")
+    write_table(read("rank_lists").select(*by, *[F.slice(f"{c}_rank", 1, k).alias(f"{c}_rank") for c in names]), f"{path}/rank_lists_top")
 
 
 def write_results(results: DataFrame, scores: DataFrame, path: str, limit: int | None = None) -> None:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import alignment
 from lodestone.sources import readers, writers
 
 
@@ -64,3 +65,20 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "k" / "top")).count() == 3
     assert spark.read.parquet(str(tmp_path / "k" / "rank_lists")).first().backward_rank == list(range(12))
     assert spark.read.parquet(str(tmp_path / "k" / "full")).where(F.col("score_rank") == 1).first().ord == 11
+
+
+def test_ranked_outputs_are_cut_from_one_table(spark, tmp_path):
+    data = [(i % 3, i, float(-(i * 7 % 11)), None if i % 4 else 0.5, float(i % 5), 12, f"part -- {i}") for i in range(30)]
+    scored = alignment.scores(spark.createDataFrame(data, "item long, ord long, forward double, backward double, parameter double, tokens long, content string"), ["item"])
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    writers.write_ranked(scored.mapInPandas(counted, scored.schema), str(tmp_path / "r"), ["item"], "ord", 3)
+    assert calls.value == 30
+    for name, df in writers.ranked_outputs(scored, ["item"], "ord", 3).items():
+        got = spark.read.parquet(str(tmp_path / "r" / name))
+        assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.collect())), name
