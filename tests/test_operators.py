@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,13 @@ def test_ranks_of_similar_vectors_without_their_edges(spark, tolerance):
         got = {(r.label, r.node): r.score for r in similarity.pagerank(df, seeds, 0.5, "label", tolerance=tolerance, rounds=4 if tolerance is None else 100, block=block).collect()}
         assert got == pytest.approx(want, abs=1e-12)
     assert similarity.pagerank(df, seeds.where("node < 0"), 0.5, "label").isEmpty()
+
+
+def test_spanning_edges_join_the_same_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = [(g, *sorted(f"n{x:03d}" for x in rng.integers(0, 80, 2) // 4 * 4 + g)) for g in (0, 1) for _ in range(900)] + [(0, "x", "x"), (1, "y", "z")]
+    e = spark.createDataFrame(pairs, "graph_id long, a string, b string").coalesce(1)
+    few = [(r.graph_id, r.a, r.b) for r in graph.spanning(e).collect()]
+    assert len(few) == 2 * 19 + 1 and ("x" not in {x for r in few for x in r[1:]})
+    chain = graph._forest(pd.DataFrame({"g": 1, "a": range(1, 200), "b": range(0, 199)}).sample(frac=1, random_state=1))
+    assert len(chain) == 199 and chain.a.nunique() == 1
