@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrow import unit_batch, unit_rows
-from lodestone.functions.models import lexical
+from lodestone.functions.models import lexical, pieces
 
 BLOCK = 1024
 #: Vectors of a block of all-pairs similarity, at most; a block of 64 dimensions is 8 MB.
@@ -221,7 +221,8 @@ def hybrid_top(vectors: DataFrame, queries: DataFrame, k: int = 5, weights: tupl
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q, words = shared.value
             qs = np.array_split(q, parts, axis=1)
-            for pdf in batches:
+            # about 2 million scores at once; a part has k rows for each query
+            for pdf in pieces(batches, [], rows=max(1, 2 * STRIP // max(len(names), 1))):
                 if not len(pdf):
                     continue
                 u = np.stack(pdf.u.to_numpy()).astype(np.float64)
