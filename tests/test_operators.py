@@ -212,6 +212,17 @@ def test_paths_of_a_graph_of_over_5000_nodes(spark):
     assert p is not None and p.diameter == 2 and p.avg_path == pytest.approx((6000 * 5999 * 2 + 12000) / (6001 * 6000), abs=1e-6)
 
 
+def test_paths_have_no_bound_on_rounds(spark, monkeypatch):
+    """Were walks and folding counted by a range, it would end after three rounds here: a path through 21 nodes
+    takes 10 to fold, a ring of 10 five to walk."""
+    monkeypatch.setattr(stats, "range", lambda *a: range(a[0], min(a[1], 4)) if len(a) > 1 else range(min(a[0], 3)), raising=False)
+    line, ring = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)], [(f"r{i}", f"r{(i + 1) % 10}") for i in range(10)]
+    e = spark.createDataFrame([(i, *x) for i, edges in enumerate((line, ring)) for x in edges], "graph_id long, a string, b string")
+    nodes = e.select("graph_id", F.explode(F.array("a", "b")).alias("entity_name")).distinct()
+    got = {p.graph_id: (p.diameter, p.avg_path) for p in stats.paths(nodes, e).collect()}
+    assert got == {0: (20, pytest.approx(_walked(line)[1], abs=1e-6)), 1: (5, pytest.approx(_walked(ring)[1], abs=1e-6))}
+
+
 def _two_graphs(spark, n=150):
     m = np.random.default_rng(4).normal(size=(n, 6))
     m[:20] = m[0] + 0.05 * m[:20]
