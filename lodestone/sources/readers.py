@@ -6,13 +6,18 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW = "input string, question string, answers array<string>, answer string, output string, context string"
+#: Bytes of a GraphML file that are shuffled as one, and elements that leave the decoder at once.
+PACK, ELEMENTS = 512, 4096
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -114,24 +119,99 @@ def read_vector_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(decode, "id string, entity_name string, embedding array<float>")
 
 
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes(file, entity_name, attrs) and edges(file, a, b, attrs) of GraphML files."""
-    import xml.etree.ElementTree as tree
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring pieces (file, at, id, value) of a split as one of about PACK bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, at, value = (batch.column(c) for c in ("file", "at", "value"))
+        part, start = np.cumsum(pc.binary_length(value).to_numpy().astype(np.int64) + 1) // PACK, at.to_numpy()
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (part[1:] != part[:-1]) | (start[1:] != start[:-1])
+        new[pc.run_end_encode(file).run_ends.to_numpy()[:-1]] = True
+        first = np.flatnonzero(new)
+        runs = pa.ListArray.from_arrays(pa.array(np.append(first, len(value)), pa.int32()), value)
+        yield pa.RecordBatch.from_arrays([file.take(first), at.take(first), batch.column("id").take(first), pc.binary_join(runs, b">")], names=["file", "at", "id", "value"])
+
+
+def _graphml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, kind, a, b, attrs of nodes and edges, from files in pieces (file, value) in their order, cut at ">".
+    What is held is a batch, a few thousand elements that ended and those that are open."""
+    file, parser, last, out = None, None, b"", []
+    names: dict = {}
+    used: dict = {}
+    path: list[dict] = []
+
+    def begin(name: str, attrs: dict) -> None:
+        kind = name.rpartition(":")[2]
+        if path:
+            path[-1]["plain"] = False
+        path.append({"kind": kind, "attrs": attrs, "data": {}, "text": [], "plain": kind == "data"})
+        if kind == "key":
+            names[attrs.get("id")] = attrs.get("attr.name")
+            if used.get(attrs.get("id"), attrs.get("attr.name")) != attrs.get("attr.name"):
+                raise ValueError(f"{file}: key {attrs.get('id')} is declared behind its use")
+
+    def text(piece: str) -> None:
+        if path[-1]["plain"]:
+            path[-1]["text"].append(piece)
+
+    def end(_: str) -> None:
+        e = path.pop()
+        get = e["attrs"].get
+        if e["kind"] == "data" and path:
+            used[get("key")] = names.get(get("key"), get("key"))
+            path[-1]["data"][used[get("key")]] = "".join(e["text"])
+        elif e["kind"] == "node":
+            out.append((file, "node", get("id"), None, json.dumps(e["data"], ensure_ascii=False)))
+        elif e["kind"] == "edge":
+            out.append((file, "edge", min(get("source"), get("target")), max(get("source"), get("target")), json.dumps(e["data"], ensure_ascii=False)))
+
+    def made() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["file", "kind", "a", "b", "attrs"])
+            out.clear()
+
+    def close() -> None:
+        # a ">" that ends a file has no piece behind it; behind the root there may be blanks
+        if parser is not None:
+            if last.rpartition(b">")[2].strip():
+                parser.Parse(b">", False)
+            parser.Parse(b"", True)
+
+    for batch in batches:
+        values, runs, start = batch.column("value").to_pylist(), pc.run_end_encode(batch.column("file")), 0
+        for name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != file:
+                close()
+                file, parser = name, expat.ParserCreate("utf-8")
+                names.clear(), used.clear(), path.clear()
+                parser.buffer_text = True
+                parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, end, text
+                last = None
+            for value in values[start:stop]:
+                if last is not None:
+                    parser.Parse(b">", False)
+                parser.Parse(value, False)
+                last = value
+                if len(out) >= ELEMENTS:
+                    yield from made()
+            start = stop
+        yield from made()
+    close()
+    yield from made()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tag = lambda e: e.tag.rpartition("}")[2]
-        for pdf in batches:
-            for file, text in zip(pdf.file, pdf.value):
-                root = tree.fromstring(text)
-                names = {k.get("id"): k.get("attr.name") for k in root.iter() if tag(k) == "key"}
-                out = []
-                for e in root.iter():
-                    if tag(e) in ("node", "edge"):
-                        attrs = json.dumps({names.get(x.get("key"), x.get("key")): x.text or "" for x in e if tag(x) == "data"}, ensure_ascii=False)
-                        out.append((file, tag(e), e.get("id") if tag(e) == "node" else min(e.get("source"), e.get("target")), None if tag(e) == "node" else max(e.get("source"), e.get("target")), attrs))
-                yield pd.DataFrame(out, columns=["file", "kind", "a", "b", "attrs"])
-
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(decode, "file string, kind string, a string, b string, attrs string")
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes(file, entity_name, attrs) and edges(file, a, b, attrs) of GraphML files. Keys are declared before
+    they are used, as the format wants; a file where one comes later raises.
+
+    Files are read in splits, cut at ">", and shuffled once, so that a file's pieces meet in order in one
+    task, which never holds the file."""
+    rows = spark.read.option("lineSep", ">").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
+    rows = rows.mapInArrow(_packed, rows.schema)
+    rows = rows.repartition("file").sortWithinPartitions("file", "at", "id").select("file", "value").mapInArrow(_graphml, "file string, kind string, a string, b string, attrs string")
     attrs = F.from_json("attrs", "map<string,string>").alias("attrs")
     return rows.where("kind = 'node'").select("file", F.col("a").alias("entity_name"), attrs), rows.where("kind = 'edge'").select("file", "a", "b", attrs)
 

@@ -2,6 +2,7 @@ import base64
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,47 @@ def test_graphml_round_trip(spark, tmp_path):
     assert [(r.a, r.b, r.attrs["weight"]) for r in e.collect()] == [('a<"&', "b", "2.5")]
 
 
+def test_graphml_of_any_layout(spark, tmp_path):
+    """Many splits, one line or many, raw ">", namespaces, comments, CDATA, nested graphs and yFiles' data."""
+    many = "".join(f'<node id="n{i}"><data key="k">{i}</data></node>' for i in range(3000))
+    (tmp_path / "a.graphml").write_text(f'<graphml><key id="k" attr.name="size"/><graph>{many}</graph></graphml>')
+    (tmp_path / "b.graphml").write_text("""<?xml version="1.0" encoding="ISO-8859-1"?>
+<!DOCTYPE graphml [<!ENTITY who "Ann">]>\r\n<g:graphml xmlns:g="x"><!-- a > b <node id="no"/> --><g:key id="k" attr.name="size"/>
+<g:graph><g:node id="a>b"><g:data key="k">1 > \u00e9 &who;\n<![CDATA[<node id="no">]]></g:data><g:data key="other"/><g:graph><g:node id="inner"/></g:graph></g:node>
+<g:edge target="a>b" source="inner"><g:data key="k"> \t<y:Shape>no</y:Shape>no</g:data></g:edge></g:graph></g:graphml><!-- end -->""", newline="")
+    (tmp_path / "c.graphml").write_text("<graphml/>\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        n, e = readers.read_graphml(spark, str(tmp_path / "*.graphml"))
+        got = {(r.file[-9:], r.entity_name, tuple(sorted(r.attrs.items()))) for r in n.collect()}
+        edges = [(r.a, r.b, r.attrs) for r in e.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {("a.graphml", f"n{i}", (("size", str(i)),)) for i in range(3000)} | {
+        ("b.graphml", "a>b", (("other", ""), ("size", '1 > \u00e9 Ann\n<node id="no">'))), ("b.graphml", "inner", ())}
+    assert edges == [("a>b", "inner", {"size": " \t"})]
+    for name, text in (("cut", "<graphml><graph><node id='a'/>"), ("late", "<graphml><graph><node id='a'><data key='k'>1</data></node></graph><key id='k' attr.name='size'/></graphml>")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="no element found|declared behind its use"):
+            readers.read_graphml(spark, str(tmp_path / name))[0].count()
+
+
+def test_graphml_leaves_before_its_file_is_read():
+    pulled = []
+
+    def batches():
+        pieces = b"<graphml><graph>".split(b">")[:-1] + [x for i in range(500) for x in (b'<node id="%d"' % i, b"</node")] + [b"</graph", b"</graphml"]
+        for at in range(0, len(pieces), 100):
+            pulled.append(at)
+            value = pieces[at : at + 100]
+            yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(value)), pa.array(value)], names=["file", "value"])
+
+    found = readers._graphml(batches())
+    first = next(found).num_rows  # the 49th node's ">" comes with the next piece
+    assert first == 48 and pulled == [0]
+    assert first + sum(b.num_rows for b in found) == 500 and len(pulled) == 11
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("d", "m", 1), ("d", "n", 2)], "dataset string, model string, f1 int")
     writers.write_results(df, df, str(tmp_path / "r"), 5)
