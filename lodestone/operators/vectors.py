@@ -24,6 +24,8 @@ BLOCK = 1024
 PAIR_BLOCK = 16384
 #: Cosines that a task holds at once (8 MB).
 STRIP = 1 << 20
+#: Cosines this near to a threshold are summed anew, as cosines() sums them, so that every plan decides alike.
+SLACK = 1e-9
 
 
 def norm(v: Column) -> Column:
@@ -96,6 +98,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float |
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def cosines(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Row by row, for unit vectors; a row's value doesn't depend on the other rows."""
+    return (u * v).sum(axis=1)
+
+
 def blocks_of(n: int, most: int = PAIR_BLOCK) -> int:
     """Blocks that n vectors are dealt to: enough pairs of blocks for many tasks, none of over ``most``."""
     return max(-(-n // most), min(8, n // 256), 1)
@@ -148,8 +155,13 @@ def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector:
         step = max(1, STRIP // max(len(v), 1))
         for lo in range(0, len(u), step):
             s = u[lo : lo + step] @ v.T
-            x, y = np.nonzero(s >= theta)
+            x, y = np.nonzero(s >= theta - SLACK)
             weight = s[x, y]
+            close = np.flatnonzero(weight <= theta + SLACK)
+            if len(close):
+                weight[close] = cosines(u[lo + x[close]], v[y[close]])
+                on = weight >= theta
+                x, y, weight = x[on], y[on], weight[on]
             a, b = ids.take(pa.array(lo + x)), other.take(pa.array(y))
             less = pc.less(a, b).to_numpy(zero_copy_only=False)
             if i == j:
@@ -165,13 +177,30 @@ def similar_pairs(vectors: DataFrame, theta: float, key: str = "vec_id", vector:
     return rows.groupBy(*by, "bi", "bj").applyInArrow(product, schema)
 
 
-def augment(edges: DataFrame, similar: DataFrame, theta: float) -> DataFrame:
+def replaced(edges: DataFrame, vectors: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", graph: str | None = None) -> DataFrame:
+    """(graph,) a, b of the edges that similar_pairs() lists too. No pair is listed for that: the vectors of an edge's
+    ends are looked up, so what is shuffled grows with edges and vectors."""
+    by = [graph] if graph else []
+    of = lambda c: vectors.select(*by, F.col(key).alias(c), F.col(vector).alias(f"v{c}"))
+    rows = edges.where("a < b").select(*by, "a", "b").join(of("b"), [*by, "b"]).join(of("a"), [*by, "a"]).select(*by, "a", "b", "va", "vb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                on = cosines(unit_batch(batch.column("va")), unit_batch(batch.column("vb"))) >= theta
+                yield batch.select([*by, "a", "b"]).filter(pa.array(on))
+
+    return rows.mapInArrow(near, rows.select(*by, "a", "b").schema)
+
+
+def augment(edges: DataFrame, vectors: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Edges with those by similarity put over them: where both have a pair, the similarity edge
-    replaces the explicit one. Columns a, b, weight, order, description, source_id."""
-    made = similar.select(
+    replaces the explicit one. Columns a, b, weight, order, description, source_id. Similar pairs
+    are made once and not shuffled."""
+    made = similar_pairs(vectors, theta, key, vector).select(
         "a", "b", "weight", F.lit(0).cast("long").alias("order"), F.lit(f"similarity at least {theta}").alias("description"),
         F.concat_ws("<SEP>", F.col("a").cast("string"), F.col("b").cast("string")).alias("source_id"))
-    return edges.join(made.select("a", "b"), ["a", "b"], "left_anti").select(*made.columns).unionByName(made)
+    return edges.join(replaced(edges, vectors, theta, key, vector), ["a", "b"], "left_anti").select(*made.columns).unionByName(made)
 
 
 def checked_threshold(value: float | None, default: float) -> float:

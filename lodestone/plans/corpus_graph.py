@@ -66,7 +66,7 @@ class CorpusGraph:
         similar = vectors.similar_pairs(self.vectors, theta, "entity_name", "embedding", "graph_id")
         made = similar.select(
             "graph_id", "a", "b", "weight", F.lit(0).alias("order"), F.array(F.lit(f"similarity at least {theta}")).alias("descriptions"), F.array("a", "b").alias("source_ids"))
-        edges = self.edges.join(made.select("graph_id", "a", "b"), ["graph_id", "a", "b"], "left_anti").select(*made.columns).unionByName(made)
+        edges = self.edges.join(vectors.replaced(self.edges, self.vectors, theta, "entity_name", "embedding", "graph_id"), ["graph_id", "a", "b"], "left_anti").select(*made.columns).unionByName(made)
         stats = edges.groupBy("graph_id").agg(F.count_if(F.col("order") == 0).alias("edges_added"), F.count("*").alias("total_edges"), F.lit(theta).alias("threshold"))
         return CorpusGraph(self.chunks, self.nodes, edges, self.vectors, self.usage), stats
 

@@ -229,6 +229,28 @@ def _two_graphs(spark, n=150):
     return spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, label int, embedding array<double>")
 
 
+def test_augment_makes_similar_pairs_once_and_joins_none(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    m = np.random.default_rng(9).normal(size=(60, 5))
+    m[30:35] = m[:5]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 0, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, label int, embedding array<double>")
+    ends = [(i, j) for i in range(70) for j in range(i, 70, 3)] + [(9, 3), (3, 900)]
+    e = spark.createDataFrame([(a, b, 2.0, 1, "explicit", "s") for a, b in ends], "a long, b long, weight double, order long, description string, source_id string")
+    # 0.3, and cosines that vectors have to the last bit or nearly
+    for theta in (0.3, float(u[3] @ u[24]), float((u[3] * u[24]).sum()), float(u[2] @ u[32]), 1.0):
+        got = [(r.a, r.b, r.order) for r in vectors.augment(e, df, theta).collect()]
+        pairs = {(r.a, r.b) for r in vectors.similar_pairs(df, theta).collect()}
+        assert len(got) == len(set(got)) and {x[:2] for x in got if x[2] == 0} == pairs
+        assert {x[:2] for x in got if x[2] == 1} == set(ends) - pairs and set(ends) & pairs
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(a, b, 1.0) for a, b in ends], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("augment_overwrite", "augment_stats"):
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInArrow") == 1, plan
+
+
 def test_clustering_of_similar_vectors_without_their_edges(spark):
     from lodestone.operators import similarity
 
