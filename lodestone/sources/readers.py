@@ -143,7 +143,7 @@ def _graphml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path: list[dict] = []
 
     def begin(name: str, attrs: dict) -> None:
-        kind = name.rpartition(":")[2]
+        kind = name.rpartition("}")[2]
         if path:
             path[-1]["plain"] = False
         path.append({"kind": kind, "attrs": attrs, "data": {}, "text": [], "plain": kind == "data"})
@@ -184,7 +184,7 @@ def _graphml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
             if name != file:
                 close()
-                file, parser = name, expat.ParserCreate("utf-8")
+                file, parser = name, expat.ParserCreate("utf-8", "}")
                 names.clear(), used.clear(), path.clear()
                 parser.buffer_text = True
                 parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, end, text

@@ -61,7 +61,7 @@ def test_graphml_of_any_layout(spark, tmp_path):
     many = "".join(f'<node id="n{i}"><data key="k">{i}</data></node>' for i in range(3000))
     (tmp_path / "a.graphml").write_text(f'<graphml><key id="k" attr.name="size"/><graph>{many}</graph></graphml>')
     (tmp_path / "b.graphml").write_text("""<?xml version="1.0" encoding="ISO-8859-1"?>
-<!DOCTYPE graphml [<!ENTITY who "Ann">]>\r\n<g:graphml xmlns:g="x"><!-- a > b <node id="no"/> --><g:key id="k" attr.name="size"/>
+<!DOCTYPE graphml [<!ENTITY who "Ann">]>\r\n<g:graphml xmlns:g="x" xmlns:y="y"><!-- a > b <node id="no"/> --><g:key id="k" attr.name="size"/>
 <g:graph><g:node id="a>b"><g:data key="k">1 > \u00e9 &who;\n<![CDATA[<node id="no">]]></g:data><g:data key="other"/><g:graph><g:node id="inner"/></g:graph></g:node>
 <g:edge target="a>b" source="inner"><g:data key="k"> \t<y:Shape>no</y:Shape>no</g:data></g:edge></g:graph></g:graphml><!-- end -->""", newline="")
     (tmp_path / "c.graphml").write_text("<graphml/>\n\n")
